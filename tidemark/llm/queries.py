@@ -5,10 +5,14 @@ from __future__ import annotations
 from .bpe import op1_bpe
 from .decontaminate import op2_decontaminate
 from .langid import op10_langid
+from .neardup import op6_neardup
+from .quality_rules import op9_quality
 
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_decontaminate": op2_decontaminate,
+    "op6_neardup": op6_neardup,
+    "op9_quality": op9_quality,
     "op10_langid": op10_langid,
 }
 
