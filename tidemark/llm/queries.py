@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op1_bpe
 from .decontaminate import op2_decontaminate
 from .langid import op10_langid
+from .linededup import op7_linededup
 from .neardup import op6_neardup
 from .quality_rules import op9_quality
 
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_decontaminate": op2_decontaminate,
     "op6_neardup": op6_neardup,
+    "op7_linededup": op7_linededup,
     "op9_quality": op9_quality,
     "op10_langid": op10_langid,
 }
