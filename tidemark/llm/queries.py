@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from .bpe import op1_bpe
 from .decontaminate import op2_decontaminate
+from .knn_quality import op5_knn_quality
 from .langid import op10_langid
 from .linededup import op7_linededup
 from .neardup import op6_neardup
+from .pii import op8_pii
 from .quality_rules import op9_quality
 
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_decontaminate": op2_decontaminate,
+    "op5_knn_quality": op5_knn_quality,
     "op6_neardup": op6_neardup,
     "op7_linededup": op7_linededup,
+    "op8_pii": op8_pii,
     "op9_quality": op9_quality,
     "op10_langid": op10_langid,
 }
