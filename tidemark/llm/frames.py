@@ -25,14 +25,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
     It cuts the lineage and survives the loss of any executor.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op1_bpe
 from .decontaminate import op2_decontaminate
+from .katz import op3_katz
 from .knn_quality import op5_knn_quality
 from .langid import op10_langid
 from .linededup import op7_linededup
@@ -14,6 +15,7 @@ from .quality_rules import op9_quality
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_decontaminate": op2_decontaminate,
+    "op3_katz": op3_katz,
     "op5_knn_quality": op5_knn_quality,
     "op6_neardup": op6_neardup,
     "op7_linededup": op7_linededup,
