@@ -3,17 +3,66 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from tidemark.llm import bpe, decontaminate, langid, linededup, neardup
+from tidemark.llm.frames import held_out, materialise, table
 
-#: The stages run numpy models, so no SQL; the tests compare them with brute force.
+#: A document of which no language has this share of the letters is rejected.
+MIN_LANGUAGE_SHARE = 0.4
+
+
+def _with_length(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else docs
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text has letters, mostly in one language; the others go."""
+    model = langid.train(docs.where(~held_out(F.col("doc_id"), 3)))
+    rows = docs.select(F.struct(*docs.columns).alias("doc_id"), "text")
+    found = langid.identify(rows, model)
+    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SHARE))
+    return kept.select("doc_id.*")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Blocks that an earlier document holds are cut out; a document that is left without a word goes."""
+    found = linededup.dedup_lines(docs)
+    return _with_length(found.where(F.col("text").rlike("[^\\x20\\x09-\\x0D]") | (F.size("removed_lines") == 0)).drop("removed_lines"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five-word shingles, 0.8): the one with the least id."""
+    gone = neardup.near_duplicates(docs).where(~F.col("kept")).select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti")
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any benchmark window."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, ids and the digest of the decoded text."""
+    rows = docs.select(F.struct("doc_id", "lang", "source").alias("doc_id"), "text")
+    found = bpe.encode(rows)
+    return found.select("doc_id.*", "n_tokens", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", benchmark_decontamination),
+    ("bpe", bpe_encoding),
+]
+
+#: The stages run numpy models and searches, so no SQL; the tests compare them with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply STAGES to the documents, each stage's result written and reread."""
-    from tidemark.llm.frames import materialise, table
-
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

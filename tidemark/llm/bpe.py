@@ -207,7 +207,7 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", v
                     sha = lambda texts: [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in texts]
                     out |= {"ids_sha256": pa.array(sha(ids), pa.string()), "decoded_sha256": pa.array(sha(decoded), pa.string())}
                 else:
-                    out |= {"ids": pa.array([np.array(x.split(), dtype=np.int32) for x in ids], pa.list_(pa.int32())), "decoded": pa.array(decoded, pa.string())}
+                    out |= {"ids": pa.array([np.fromstring(x, dtype=np.int32, sep=" ") if x else np.zeros(0, np.int32) for x in ids], pa.list_(pa.int32())), "decoded": pa.array(decoded, pa.string())}
                 yield pa.RecordBatch.from_pydict(out)
 
     more = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"

@@ -11,11 +11,13 @@ from .linededup import op7_linededup
 from .neardup import op6_neardup
 from .pii import op8_pii
 from .quality_rules import op9_quality
+from .token_counts import op4_token_counts
 
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_decontaminate": op2_decontaminate,
     "op3_katz": op3_katz,
+    "op4_token_counts": op4_token_counts,
     "op5_knn_quality": op5_knn_quality,
     "op6_neardup": op6_neardup,
     "op7_linededup": op7_linededup,
