@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,3 +51,28 @@ def held_out(doc_id: Column, mod: int) -> Column:
 def keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
     """Only (doc_id, text) and `more`, so other columns' names cannot clash."""
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
+
+
+def summed(df: DataFrame, count: Callable, size: int, kind: type = np.int64) -> np.ndarray:
+    """The sum over all tasks of the array that count(batches) returns; its size is fixed.
+
+    Each task sends its array in slices, a slice's sum is one row, and the driver gets
+    size * 8 bytes in all.
+    """
+    width = -(-size // min(64, size))
+
+    def part(batches):
+        total = count(batches)
+        for k in range(0, size, width):
+            if total[k : k + width].any():
+                yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "data": pa.array([zlib.compress(np.ascontiguousarray(total[k : k + width], dtype=kind).tobytes(), 1)], pa.binary())})
+
+    def add(group: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(zlib.decompress(x.as_py()), dtype=kind) for x in group["data"])
+        return pa.table({"k": pa.array([group["k"][0].as_py()], pa.int32()), "data": pa.array([total.tobytes()], pa.binary())})
+
+    out = np.zeros(size, dtype=kind)
+    for r in df.mapInArrow(part, "k int, data binary").groupBy("k").applyInArrow(add, "k int, data binary").collect():
+        got = np.frombuffer(r["data"], dtype=kind)
+        out[r["k"] : r["k"] + len(got)] = got
+    return out

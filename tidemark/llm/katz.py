@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import keyed, materialise, table
+from .frames import keyed, materialise, summed, table
 from .textflat import chunks, splitmix, words
 
 #: Least share of the training tokens of a vocabulary word.
@@ -320,24 +320,22 @@ def _counts_of_counts(found: DataFrame) -> dict[int, float]:
 
 
 def _history_sums(found: DataFrame, discounts: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Discounted counts and covered unigram probability per history; a row for each class at most."""
+    """Discounted counts and covered unigram probability per history, of which there are 1/EPSILON at most."""
     sent = found.sparkSession.sparkContext.broadcast(base)
+    size = len(base)
 
-    def run(batches):
-        kept, covered = np.zeros(len(sent.value)), np.zeros(len(sent.value))
+    def count(batches):
+        total = np.zeros(2 * size)
         for batch in batches:
             for x in batch.column(0):
                 keys, r = np.frombuffer(x.as_py(), dtype=np.int64).reshape(2, -1)
                 a, b = keys // _STRIDE, keys % _STRIDE
-                kept += np.bincount(a, weights=_discounted(r, discounts), minlength=len(kept))
-                covered += np.bincount(a, weights=sent.value[b], minlength=len(kept))
-        at = np.flatnonzero(kept)
-        yield pa.RecordBatch.from_pydict({"at": pa.array(at, pa.int32()), "kept": pa.array(kept[at]), "covered": pa.array(covered[at])})
-
-    rows = found.where("kind = 'table'").select("data").mapInArrow(run, "at int, kept double, covered double").groupBy("at").agg(F.sum("kept").alias("kept"), F.sum("covered").alias("covered")).toPandas()
-    kept, covered = np.zeros(len(base)), np.zeros(len(base))
-    kept[rows["at"]], covered[rows["at"]] = rows["kept"], rows["covered"]
-    return kept, covered
+                total[:size] += np.bincount(a, weights=_discounted(r, discounts), minlength=size)
+                total[size:] += np.bincount(a, weights=sent.value[b], minlength=size)
+        return total
+
+    total = summed(found.where("kind = 'table'").select("data"), count, 2 * size, np.float64)
+    return total[:size], total[size:]
 
 
 def _evaluate(found: DataFrame, model: Bigrams) -> DataFrame:
