@@ -57,7 +57,8 @@ def fit_schemas(readings: DataFrame, *, scope: list[str], value: str = "value",
         fitted = fitted.where(good)
     name = F.concat_ws("/", *[F.col(c).cast("string") for c in scope])
     ident = content_id(name, F.lit(channel), F.lit(fit_start), F.lit(fit_end), F.col("edges"))
-    return fitted.select(*scope, ident.alias("schema_id"), name.alias("scope"), F.lit(channel).alias("channel"), "edges", F.lit(fit_start).alias("fit_start"), F.lit(fit_end).alias("fit_end"))
+    named = [] if "scope" in scope else [name.alias("scope")]
+    return fitted.select(*scope, ident.alias("schema_id"), *named, F.lit(channel).alias("channel"), "edges", F.lit(fit_start).alias("fit_start"), F.lit(fit_end).alias("fit_end"))
 
 
 def _tree(value: Column, edges: list[float], lo: int, hi: int) -> Column:
