@@ -157,6 +157,7 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     deleted = aligned.union(often.select("t", F.filter("lines", lambda i: i.isNotNull()).alias("lines")))
     deleted = deleted.groupBy("t").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("lines"))
     deleted = classes.select("t", "id").join(deleted, "t", "left").select("t", "id", F.coalesce("lines", F.array().cast("array<int>")).alias("lines"))
+    deleted = materialise(deleted, "deleted")  # so a join with a hot text's copies can be split
     total = F.aggregate("sizes", F.lit(0), lambda a, x: a + x)
     return rows.select("doc_id", "t", F.size("hashes").alias("n_lines"), total.alias("n_words")), deleted
 

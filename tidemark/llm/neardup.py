@@ -17,7 +17,6 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .frames import keyed, materialise, table
+from .frames import keyed, materialise, summed, table
 from .textflat import chunks, shingles, splitmix, words
 
 
@@ -114,26 +113,15 @@ def _candidates(classes: DataFrame, s: Settings) -> DataFrame:
 
 def _rarity(sets: DataFrame, s: Settings) -> np.ndarray:
     """How many values of all sets fall in each cell; the array's size is fixed."""
-    slices = 64
-    width = s.cells // slices
 
     def count(batches):
         total = np.zeros(s.cells, dtype=np.int64)
         for batch in batches:
-            flat = batch.column(0).flatten()
-            total += np.bincount(np.asarray(flat).view(np.uint64) % np.uint64(s.cells), minlength=s.cells)
-        for k in range(slices):
-            part = total[k * width : (k + 1) * width]
-            if part.any():
-                at = np.flatnonzero(part)
-                yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "at": pa.array([at.tolist()], pa.list_(pa.int32())), "n": pa.array([part[at].tolist()], pa.list_(pa.int64()))})
-
-    parts = sets.select("members").mapInArrow(count, "k int, at array<int>, n array<bigint>")
-    sums = parts.select("k", F.explode(F.arrays_zip("at", "n")).alias("x")).groupBy("k", "x.at").agg(F.sum("x.n").alias("n"))
-    out = np.zeros(s.cells, dtype=np.int64)
-    got = sums.toPandas()
-    out[got["k"].to_numpy(dtype=np.int64) * width + got["at"].to_numpy(dtype=np.int64)] = got["n"]
-    return np.minimum(out, np.iinfo(np.int32).max).astype(np.int32)
+            value = np.asarray(batch.column(0).flatten()).view(np.uint64)
+            total += np.bincount((value % np.uint64(s.cells)).astype(np.int64), minlength=s.cells)
+        return total
+
+    return np.minimum(summed(sets.select("members"), count, s.cells), np.iinfo(np.int32).max).astype(np.int32)
 
 
 def _entries(sets: DataFrame, s: Settings) -> DataFrame:
@@ -236,7 +224,7 @@ def _links(sets: DataFrame, s: Settings) -> DataFrame | None:
     pivot = sized.where(F.col("c") > s.short).select("v", F.col("first.cls").alias("p"), F.col("first.n").alias("pn"), (-F.col("first.col1")).alias("pc"))
     star = long.join(pivot, "v").where((F.col("cls") != F.col("p")) & (F.col("n") <= F.col("pc")) & (F.col("pn") <= F.col("cap")))
     star = star.select(F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b"))
-    links = materialise(_confirm(pair.union(star).distinct(), sets, s), "links")
+    links = materialise(_confirm(pair.union(star).distinct(), sets, s), "links", batch_rows=200)
     if long.isEmpty():
         return links
     label = components(links) if not links.isEmpty() else None
@@ -245,7 +233,7 @@ def _links(sets: DataFrame, s: Settings) -> DataFrame | None:
         split = long.join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("label", "cls")).drop("label")
     mixed = split.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("v")
     more = _confirm(_block_pairs(split.join(mixed, "v"), sets, s), sets, s)
-    return links.union(materialise(more, "links"))
+    return links.union(materialise(more, "links", batch_rows=200))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
