@@ -6,6 +6,7 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Callable
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +30,38 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Jobs started inside hand Python at most `rows` rows at a time, which bounds memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """From now on the session hands Python at most `rows` rows at a time.
+
+    For frames that a caller computes later: documents can be long, and Spark bounds a
+    batch by its number of rows only.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, str(rows))
+
+
+def materialise(df: DataFrame, name: str, compression: str = "snappy", batch_rows: int = 1000) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
     It cuts the lineage and survives the loss of any executor.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").option("compression", compression).parquet(path)
+    with arrow_rows(spark, batch_rows):
+        df.write.mode("overwrite").option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -53,7 +78,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFra
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
 
 
-def summed(df: DataFrame, count: Callable, size: int, kind: type = np.int64) -> np.ndarray:
+def summed(df: DataFrame, count: Callable, size: int, kind: type = np.int64, batch_rows: int = 500) -> np.ndarray:
     """The sum over all tasks of the array that count(batches) returns; its size is fixed.
 
     Each task sends its array in slices, a slice's sum is one row, and the driver gets
@@ -72,7 +97,9 @@ def summed(df: DataFrame, count: Callable, size: int, kind: type = np.int64) ->
         return pa.table({"k": pa.array([group["k"][0].as_py()], pa.int32()), "data": pa.array([total.tobytes()], pa.binary())})
 
     out = np.zeros(size, dtype=kind)
-    for r in df.mapInArrow(part, "k int, data binary").groupBy("k").applyInArrow(add, "k int, data binary").collect():
+    with arrow_rows(df.sparkSession, batch_rows):
+        rows = df.mapInArrow(part, "k int, data binary").groupBy("k").applyInArrow(add, "k int, data binary").collect()
+    for r in rows:
         got = np.frombuffer(r["data"], dtype=kind)
         out[r["k"] : r["k"] + len(got)] = got
     return out
