@@ -57,8 +57,8 @@ def fit_schemas(readings: DataFrame, *, scope: list[str], value: str = "value",
         fitted = fitted.where(good)
     name = F.concat_ws("/", *[F.col(c).cast("string") for c in scope])
     ident = content_id(name, F.lit(channel), F.lit(fit_start), F.lit(fit_end), F.col("edges"))
-    named = [] if "scope" in scope else [name.alias("scope")]
-    return fitted.select(*scope, ident.alias("schema_id"), *named, F.lit(channel).alias("channel"), "edges", F.lit(fit_start).alias("fit_start"), F.lit(fit_end).alias("fit_end"))
+    named = [x.alias(c) for c, x in (("scope", name), ("channel", F.lit(channel))) if c not in scope]
+    return fitted.select(*scope, ident.alias("schema_id"), *named, "edges", F.lit(fit_start).alias("fit_start"), F.lit(fit_end).alias("fit_end"))
 
 
 def _tree(value: Column, edges: list[float], lo: int, hi: int) -> Column:
@@ -83,6 +83,14 @@ def bin_in(value: Column, edges: Column) -> Column:
     return F.when(value.isNull() | F.isnan(value), F.lit(None).cast("int")).when(value < F.get(edges, F.lit(0)), F.lit(0)).when(value > F.get(edges, k), k + 1).otherwise(inside).cast("int")
 
 
+def frozen(schemas: DataFrame) -> DataFrame:
+    """The same schemas as literal rows, fitted once; as they are if they have over LITERAL_EDGES edges."""
+    rows = schemas.limit(LITERAL_EDGES + 1).collect()
+    if sum(len(r["edges"]) for r in rows) > LITERAL_EDGES:
+        return schemas
+    return schemas.sparkSession.createDataFrame(rows, schemas.schema)
+
+
 def assign_bins(readings: DataFrame, schemas: DataFrame, *, scope: list[str], value: str = "value") -> DataFrame:
     """readings with schema_id and bin, by the schema of each reading's scope.
 

@@ -101,9 +101,9 @@ def baseline(windows: DataFrame, schemas: DataFrame, rule: str, *, instrument: l
 
 
 def divergences(windows: DataFrame, reference: DataFrame, schemas: DataFrame, *, instrument: list[str], window: list[str]) -> DataFrame:
-    """PSI, Jensen-Shannon divergence (nats), Kolmogorov-Smirnov and cosine similarity on interior bins.
+    """PSI, Kullback-Leibler and Jensen-Shannon divergence (nats), Kolmogorov-Smirnov and cosine similarity on interior bins.
 
-    PSI takes shares of at least 1e-6.  All are null if either interior is empty.
+    PSI and Kullback-Leibler (of the window from the reference) take shares of at least 1e-6.  All are null if either interior is empty.
     """
     a = dense(windows, schemas, [*instrument, *window])
     b = dense(reference, schemas, instrument).select(*instrument, "schema_id", F.col("counts").alias("cb"))
@@ -119,6 +119,7 @@ def divergences(windows: DataFrame, reference: DataFrame, schemas: DataFrame, *,
         *instrument,
         *window,
         add(lambda p, q: (floor(p) - floor(q)) * F.ln(floor(p) / floor(q))).alias("psi"),
+        add(lambda p, q: floor(p) * F.ln(floor(p) / floor(q))).alias("kl"),
         add(lambda p, q: (kl(p, (p + q) / 2) + kl(q, (p + q) / 2)) / 2).alias("js"),
         ks.alias("ks"),
         F.try_divide(add(lambda p, q: p * q), F.sqrt(add(lambda p, q: p * p) * add(lambda p, q: q * q))).alias("cosine"),

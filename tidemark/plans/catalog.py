@@ -389,12 +389,12 @@ _baseline("same_hour_yesterday", _SHIFT.format(24))
 _baseline("rolling_window", _ROLL)
 
 
-@query(m.sql("gaps", "SELECT instrument_id, CAST(day AS VARCHAR) AS day, round(sum((greatest(p, 1e-6) - greatest(q, 1e-6)) * ln(greatest(p, 1e-6) / greatest(q, 1e-6))) + 1e-08, 6) AS psi, round(sum(CASE WHEN p > 0 THEN p * ln(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * ln(q / ((p + q) / 2)) ELSE 0 END) / 2 + 1e-08, 6) AS js, round(max(abs(cd)) + 1e-08, 6) AS ks, round(sum(p * q) / sqrt(sum(p * p) * sum(q * q)) + 1e-08, 6) AS cosine FROM (SELECT *, sum(p - q) OVER (PARTITION BY instrument_id, day ORDER BY bin) AS cd FROM gaps) GROUP BY instrument_id, day"))
+@query(m.sql("gaps", "SELECT instrument_id, CAST(day AS VARCHAR) AS day, round(sum((greatest(p, 1e-6) - greatest(q, 1e-6)) * ln(greatest(p, 1e-6) / greatest(q, 1e-6))) + 1e-08, 6) AS psi, round(sum(greatest(p, 1e-6) * ln(greatest(p, 1e-6) / greatest(q, 1e-6))) + 1e-08, 6) AS kl, round(sum(CASE WHEN p > 0 THEN p * ln(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * ln(q / ((p + q) / 2)) ELSE 0 END) / 2 + 1e-08, 6) AS js, round(max(abs(cd)) + 1e-08, 6) AS ks, round(sum(p * q) / sqrt(sum(p * p) * sum(q * q)) + 1e-08, 6) AS cosine FROM (SELECT *, sum(p - q) OVER (PARTITION BY instrument_id, day ORDER BY bin) AS cd FROM gaps) GROUP BY instrument_id, day"))
 def divergences(spark, sf_dir):
     daily, fitted = _daily(spark, sf_dir)
     reference = drift.pooled(daily.where(F.col("day") < F.lit(m.CUT.date())), ["instrument_id"])
     found = drift.divergences(daily, reference, fitted, instrument=["instrument_id"], window=["day"])
-    return _days(found, *rounded(6, "psi", "js", "ks", "cosine"))
+    return _days(found, *rounded(6, "psi", "kl", "js", "ks", "cosine"))
 
 
 # bands

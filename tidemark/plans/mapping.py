@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.binning import fit_schemas
+from ..functions.binning import fit_schemas, frozen
 from ..operators import fact as facts
 
 BINS = 16
@@ -37,7 +37,7 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def schemas(rows: DataFrame, bins: int = BINS) -> DataFrame:
-    return fit_schemas(rows, scope=["instrument_id"], bins=bins)
+    return frozen(fit_schemas(rows, scope=["instrument_id"], bins=bins))
 
 
 def changes(rows: DataFrame) -> DataFrame:
