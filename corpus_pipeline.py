@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontaminate, langid, linededup, neardup
-from tidemark.llm.frames import held_out, materialise, table
+from tidemark.llm.frames import bound_batches, held_out, materialise, table
 
 #: A document of which no language has this share of the letters is rejected.
 MIN_LANGUAGE_SHARE = 0.4
@@ -18,32 +18,38 @@ def _with_length(docs: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has letters, mostly in one language; the others go."""
+    bound_batches(spark)
     model = langid.train(docs.where(~held_out(F.col("doc_id"), 3)))
-    rows = docs.select(F.struct(*docs.columns).alias("doc_id"), "text")
-    found = langid.identify(rows, model)
+    rest = [c for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(*rest).alias("doc_id"), "text")
+    found = langid.identify(rows, model, keep_text=True)
     kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SHARE))
-    return kept.select("doc_id.*")
+    return kept.select(*[F.col("text" if c == "text" else f"doc_id.{c}").alias(c) for c in docs.columns])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Blocks that an earlier document holds are cut out; a document that is left without a word goes."""
+    bound_batches(spark)
     found = linededup.dedup_lines(docs)
     return _with_length(found.where(F.col("text").rlike("[^\\x20\\x09-\\x0D]") | (F.size("removed_lines") == 0)).drop("removed_lines"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, 0.8): the one with the least id."""
+    bound_batches(spark)
     gone = neardup.near_duplicates(docs).where(~F.col("kept")).select("doc_id")
     return docs.join(gone, "doc_id", "left_anti")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark window."""
+    bound_batches(spark)
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids and the digest of the decoded text."""
+    bound_batches(spark)
     rows = docs.select(F.struct("doc_id", "lang", "source").alias("doc_id"), "text")
     found = bpe.encode(rows)
     return found.select("doc_id.*", "n_tokens", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

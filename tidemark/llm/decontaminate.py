@@ -102,18 +102,21 @@ def _hits(words: list, machines: list[WuManber], spans: list[tuple[int, int]]) -
 _SPANS = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
 
 
-def _item_passes(items: DataFrame, limit: int) -> list[list[tuple[str, str | None]]]:
+def _item_passes(items: DataFrame, limit: int):
+    """(items of a pass, is it the last) one after another: the driver holds one pass."""
     own = items.where(F.col("text").isNotNull()).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("item"), "text")
     size = own.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     n = max(1, math.ceil(size / limit))
     part = own.withColumn("pass", F.pmod(F.xxhash64("item", "text"), F.lit(n)))
-    return [[(r.item, r.text) for r in part.where(F.col("pass") == k).collect()] for k in range(n)]
+    for k in range(n):
+        yield [(r.item, r.text) for r in part.where(F.col("pass") == k).collect()], k == n - 1
 
 
-def _search_pass(machines: list[WuManber], carried: bool, keep_text: bool):
-    """A mapInArrow function; with `carried`, hits of earlier passes come in and are joined."""
+def _search_pass(sent, carried: bool, last: bool, keep_text: bool):
+    """A mapInArrow function for a broadcast list of WuManber; with `carried`, hits of earlier passes come in and are joined."""
 
     def run(batches):
+        machines = sent.value
         for batch in batches:
             texts = batch.column(1).cast(pa.large_binary())
             before = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True) if carried else None
@@ -129,18 +132,19 @@ def _search_pass(machines: list[WuManber], carried: bool, keep_text: bool):
             out = {"doc_id": batch.column(0)}
             if keep_text:
                 out["text"] = batch.column(1)
-            else:
+            if last:
                 out["n_words"] = pa.array(n_words, pa.int64())
             yield pa.RecordBatch.from_pydict(out | {"spans": pa.array(spans, _SPANS), "items": pa.array(found, pa.list_(pa.string()))})
 
     return run
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, pass_bytes: int = PASS_BYTES) -> DataFrame:
+def find_contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, pass_bytes: int = PASS_BYTES, keep_text: bool = False) -> DataFrame:
     """Occurrences of item windows in documents.
 
     Returns a row per row of docs: doc_id, n_words, spans (disjoint word spans
-    [lo, hi) inside occurrences), items (sorted distinct item ids, as strings).
+    [lo, hi) inside occurrences), items (sorted distinct item ids, as strings); with
+    `keep_text` the text too, so a filter needs no join.
 
     Nulls and empty texts have no words and no hits.  Null item texts are ignored; a null
     item id is the empty string.  Repeated rows each get a result.  Without documents
@@ -151,25 +155,26 @@ def find_contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_
     own = keyed(docs, id_col, text_col)
     kind = own.schema["doc_id"].dataType.simpleString()
     found = "spans array<struct<lo:bigint,hi:bigint>>, items array<string>"
-    passes = _item_passes(keyed(items, item_id, item_text), pass_bytes)
-    for k, held in enumerate(passes):
-        last = k == len(passes) - 1
-        step = _search_pass(searchers(held, window), k > 0, not last)
-        own = own.mapInArrow(step, f"doc_id {kind}, {'n_words bigint' if last else 'text string'}, {found}")
+    for k, (held, last) in enumerate(_item_passes(keyed(items, item_id, item_text), pass_bytes)):
+        sent = docs.sparkSession.sparkContext.broadcast(searchers(held, window))  # bounded by pass_bytes
+        step = _search_pass(sent, k > 0, last, keep_text or not last)
+        names = f"doc_id {kind}{', text string' if keep_text or not last else ''}{', n_words bigint' if last else ''}, {found}"
+        own = own.mapInArrow(step, names).select("doc_id", "text", "spans", "items") if not last else own.mapInArrow(step, names)
     return own
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_hit_words: int = 1, **options) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text", min_hit_words: int = 1, **options) -> DataFrame:
     """docs without the rows that hold benchmark windows; all columns stay.
 
     A row goes if at least `min_hit_words` of its words are inside occurrences.  Rows are
     tested one by one, so null or repeated ids do no harm.
     """
     names = docs.columns
-    packed = docs.select(F.struct(*names).alias("doc_id"), F.col(text_col).alias("text"))
+    rest = [c for c in names if c != text_col]
+    packed = docs.select(F.struct(*rest, F.lit(0).alias("_")).alias("doc_id"), F.col(text_col).alias("text"))
     hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda total, x: total + x["hi"] - x["lo"])
-    found = find_contamination(packed, items, **options)
-    return found.where(hit < min_hit_words).select(*[F.col("doc_id")[c].alias(c) for c in names])
+    found = find_contamination(packed, items, keep_text=True, **options)
+    return found.where(hit < min_hit_words).select(*[F.col("text").alias(c) if c == text_col else F.col("doc_id")[c].alias(c) for c in names])
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -206,9 +206,11 @@ def train(docs: DataFrame, **columns) -> Model | None:
 _OUT = "lang_pred string, score double"
 
 
-def identify(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:
+def identify(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text", spans: bool = False, keep_text: bool = False) -> DataFrame:
     """doc_id, lang_pred, score for each row; with `spans` also spans of words and labels.
 
+    With `keep_text` the text comes back too, so a filter needs no join.
+
     score is the share of the letters that lie in spans of lang_pred, in [0, 1].  Null
     and empty texts, texts without a letter and an empty model give 'und' and 0.  Ties go
     to the language first in alphabetical order.  Repeated rows each get a row.
@@ -216,7 +218,7 @@ def identify(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", te
     own = keyed(docs, id_col, text_col)
     kind = own.schema["doc_id"].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    more = ", spans array<struct<lo:bigint,hi:bigint,lang:string>>" if spans else ""
+    more = (", spans array<struct<lo:bigint,hi:bigint,lang:string>>" if spans else "") + (", text string" if keep_text else "")
 
     def label(texts: list[str], model: Model):
         parts = [Letters(texts[lo:hi]) for lo, hi in _groups(texts, SCORE_CHARS)]
@@ -253,6 +255,8 @@ def identify(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", te
                         got.append([{"lo": a, "hi": b, "lang": model.langs[own[a]]} for a, b in zip(cuts, cuts[1:])])
                         at += c
                     out["spans"] = pa.array(got, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64()), ("lang", pa.string())])))
+                if keep_text:
+                    out["text"] = batch.column(1).slice(lo, hi - lo)
                 yield pa.RecordBatch.from_pydict(out)
 
     return own.mapInArrow(run, f"doc_id {kind}, {_OUT}{more}")
