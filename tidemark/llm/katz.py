@@ -36,7 +36,7 @@ EPSILON = 1 / (1 << 18)
 #: Counts up to this are discounted.
 DISCOUNTED = 5
 #: Tokens and documents of one block, and about how many tokens a part has.
-BLOCK_TOKENS, BLOCK_DOCS, PART_TOKENS = 1_500_000, 60_000, 4_000_000
+BLOCK_TOKENS, BLOCK_DOCS, PART_TOKENS = 1_000_000, 60_000, 4_000_000
 #: Class numbers; vocabulary words follow in the order of their hashes.
 RARE, END, START, FIRST = range(4)
 _STRIDE = 1 << 20
@@ -385,9 +385,9 @@ def katz_scores(docs: DataFrame, held: Column, *, id_col: str = "doc_id", text_c
     total, texts = (row["n"] or 0) + (row["t"] or 0), row["t"] or 0
     parts = max(1, math.ceil((row["a"] or 0) / PART_TOKENS))
     least = max(2, math.ceil(EPSILON * total))
-    by_word = materialise(_word_parts(blocks, parts, least), "words")
+    by_word = materialise(_word_parts(blocks, parts, least), "words", batch_rows=1)
     uni = _unigrams(by_word, total, texts)
-    by_pair = materialise(_bigram_parts(blocks, spark.sparkContext.broadcast(uni.words), parts), "bigrams")
+    by_pair = materialise(_bigram_parts(blocks, spark.sparkContext.broadcast(uni.words), parts), "bigrams", batch_rows=1)
     discounts, base = good_turing(_counts_of_counts(by_pair)), uni.base()
     model = _backoff(uni.history(), *_history_sums(by_pair, discounts, base), discounts, base)
     types = uni.types + (1 if texts else 0)  # the end is a type
@@ -421,7 +421,7 @@ def katz_scores(docs: DataFrame, held: Column, *, id_col: str = "doc_id", text_c
         return pa.table({"doc_id": ids, "held_out": held, "n_tokens": tokens, "n_known": known, "train_tokens": np.full(n, total), "base_score": base_sum - tokens * divisor, "score": score})
 
     nothing = [F.lit(None).cast(t).alias(c) for c, t in (("ids", f"array<{kind}>"), ("held", "binary"), ("counts", "binary"))]
-    sums = by_word.where("kind = 'sums'").union(_evaluate(by_pair, model)).select("block", "kind", "data", *nothing)
+    sums = by_word.where("kind = 'sums'").union(materialise(_evaluate(by_pair, model), "scores", batch_rows=4)).select("block", "kind", "data", *nothing)
     homes = blocks.select("block", F.lit("block").alias("kind"), F.lit(None).cast("binary").alias("data"), "ids", "held", "counts")
     shape = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     return homes.union(sums).groupBy("block").applyInArrow(collect, shape)
