@@ -80,3 +80,10 @@ def test_schema_edges_cover_open_bins(spark):
 def test_normalised_is_not_clamped(spark):
     df = frame(spark, [10.0, 25.0, 55.0]).select(binning.normalised(F.col("value"), F.array(*map(F.lit, EDGES))))
     assert [r[0] for r in df.collect()] == [0.0, 0.5, 1.5]
+
+
+def test_approximate_fit_is_close(spark):
+    df = spark.createDataFrame([("s", float(i)) for i in range(10_000)], "scope string, value double")
+    exact = binning.fit_schemas(df, scope=["scope"], bins=10).first()["edges"]
+    near = binning.fit_schemas(df, scope=["scope"], bins=10, accuracy=1000).first()["edges"]
+    assert max(abs(a - b) for a, b in zip(exact, near)) <= 20

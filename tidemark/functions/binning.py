@@ -28,12 +28,17 @@ def content_id(scope: Column, channel: Column, start: Column, end: Column, edges
     return F.concat(F.lit(ID_PREFIX), F.substring(F.sha2(text.cast("binary"), 256), 1, 12))
 
 
-def fit_schemas(readings: DataFrame, *, scope: list[str], value: str = "value", channel: str = "value", bins: int | None = None, fit_start: str = "", fit_end: str = "", strict: bool = True) -> DataFrame:
+def fit_schemas(readings: DataFrame, *, scope: list[str], value: str = "value", channel: str = "value", bins: int | None = None, fit_start: str = "", fit_end: str = "", strict: bool = True, accuracy: int | None = None) -> DataFrame:
     """One schema per scope: edges at equally spaced quantiles, rounded to 9 places, distinct.
 
     With `bins` None the recommended count for the number of readings is taken.  NaN and
     null values are left out.  A scope with fewer values than bins, or with fewer than two
     distinct edges, raises when the result is computed; with `strict` False it is dropped.
+
+    Exact quantiles keep a scope's distinct values in one task's memory.  For scopes of
+    many billion distinct values `accuracy` takes Spark's mergeable summaries of that size
+    instead: bounded memory, ranks right to 1 / accuracy, but ids that another run need
+    not repeat.
     """
     valid = readings.where(F.col(value).isNotNull() & ~F.isnan(value))
     n = F.count(F.lit(1))
@@ -41,13 +46,14 @@ def fit_schemas(readings: DataFrame, *, scope: list[str], value: str = "value",
         sized = valid.groupBy(*scope).agg(n.alias("n"))
         sized = sized.withColumn("target", recommended_bins(F.col("n")))
         counts = [r["target"] for r in sized.select("target").distinct().collect()]  # 249 values at most
-        parts = [fit_schemas(valid.join(F.broadcast(sized.where(F.col("target") == k).select(*scope)), scope, "left_semi"), scope=scope, value=value, channel=channel, bins=k, fit_start=fit_start, fit_end=fit_end, strict=strict) for k in sorted(counts)]
+        parts = [fit_schemas(valid.join(F.broadcast(sized.where(F.col("target") == k).select(*scope)), scope, "left_semi"), scope=scope, value=value, channel=channel, bins=k, fit_start=fit_start, fit_end=fit_end, strict=strict, accuracy=accuracy) for k in sorted(counts)]
         out = parts[0] if parts else fit_schemas(valid, scope=scope, value=value, channel=channel, bins=FEWEST, fit_start=fit_start, fit_end=fit_end, strict=strict)
         for p in parts[1:]:
             out = out.union(p)
         return out
     fractions = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    fitted = valid.groupBy(*scope).agg(n.alias("n"), F.percentile(value, fractions).alias("q"))
+    quantiles = F.percentile(value, fractions) if accuracy is None else F.percentile_approx(value, fractions, accuracy)
+    fitted = valid.groupBy(*scope).agg(n.alias("n"), quantiles.alias("q"))
     edges = F.array_sort(F.array_distinct(F.transform("q", lambda e: F.round(e, 9))))
     fitted = fitted.withColumn("edges", edges)
     good = (F.col("n") >= bins) & (F.size("edges") >= 2)
