@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import materialise
+from .frames import materialise, release
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -18,13 +18,17 @@ def components(links: DataFrame) -> DataFrame:
     both = materialise(both, "links")
     nodes = both.groupBy("node").agg(F.min("other").alias("other"))
     label = materialise(nodes.select("node", F.least("node", "other").alias("label")), "labels")
+    written = label
     while True:
         seen = label.select(F.col("node").alias("other"), F.col("label").alias("offered"))
         near = both.join(seen, "other").groupBy("node").agg(F.min("offered").alias("offered"))
-        step = label.join(near, "node", "left").select("node", F.least("label", "offered").alias("next"), "label")
+        # written, so that the join with the labels' own labels can be split at a hot label
+        step = materialise(label.join(near, "node", "left").select("node", F.least("label", "offered").alias("next"), "label"), "steps")
         root = step.select(F.col("node").alias("next"), F.col("next").alias("jump"))
-        step = step.join(root, "next", "left").select("node", F.least("next", "jump").alias("label"), (F.least("next", "jump") != F.col("label")).alias("moved"))
-        step = materialise(step, "labels")
-        label = step.select("node", "label")
-        if step.where("moved").isEmpty():
+        jumped = step.join(root, "next", "left").select("node", F.least("next", "jump").alias("label"), (F.least("next", "jump") != F.col("label")).alias("moved"))
+        before, written = written, materialise(jumped, "labels")
+        release(before, step)
+        label = written.select("node", "label")
+        if written.where("moved").isEmpty():
+            release(both)
             return label

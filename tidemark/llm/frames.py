@@ -62,7 +62,17 @@ def materialise(df: DataFrame, name: str, compression: str = "snappy", batch_row
     path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
     with arrow_rows(spark, batch_rows):
         df.write.mode("overwrite").option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tidemark_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._tidemark_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def held_out(doc_id: Column, mod: int) -> Column:

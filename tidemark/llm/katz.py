@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import keyed, materialise, summed, table
+from .frames import keyed, materialise, release, summed, table
 from .textflat import chunks, splitmix, words
 
 #: Least share of the training tokens of a vocabulary word.
@@ -421,7 +421,9 @@ def katz_scores(docs: DataFrame, held: Column, *, id_col: str = "doc_id", text_c
         return pa.table({"doc_id": ids, "held_out": held, "n_tokens": tokens, "n_known": known, "train_tokens": np.full(n, total), "base_score": base_sum - tokens * divisor, "score": score})
 
     nothing = [F.lit(None).cast(t).alias(c) for c, t in (("ids", f"array<{kind}>"), ("held", "binary"), ("counts", "binary"))]
-    sums = by_word.where("kind = 'sums'").union(materialise(_evaluate(by_pair, model), "scores", batch_rows=4)).select("block", "kind", "data", *nothing)
+    scores = materialise(_evaluate(by_pair, model), "scores", batch_rows=4)
+    release(by_pair)
+    sums = by_word.where("kind = 'sums'").union(scores).select("block", "kind", "data", *nothing)
     homes = blocks.select("block", F.lit("block").alias("kind"), F.lit(None).cast("binary").alias("data"), "ids", "held", "counts")
     shape = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     return homes.union(sums).groupBy("block").applyInArrow(collect, shape)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import materialise, table
+from .frames import materialise, release, table
 from .textflat import _powers, chunks, splitmix, words
 
 #: A line that more classes hold than this is frequent; frequent lines make no pairs.
@@ -158,6 +158,7 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     deleted = deleted.groupBy("t").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("lines"))
     deleted = classes.select("t", "id").join(deleted, "t", "left").select("t", "id", F.coalesce("lines", F.array().cast("array<int>")).alias("lines"))
     deleted = materialise(deleted, "deleted")  # so a join with a hot text's copies can be split
+    release(later, classes)
     total = F.aggregate("sizes", F.lit(0), lambda a, x: a + x)
     return rows.select("doc_id", "t", F.size("hashes").alias("n_lines"), total.alias("n_words")), deleted
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .frames import keyed, materialise, summed, table
+from .frames import keyed, materialise, release, summed, table
 from .textflat import chunks, shingles, splitmix, words
 
 
@@ -106,7 +106,9 @@ def sketches(own: DataFrame, s: Settings) -> DataFrame:
 def _candidates(classes: DataFrame, s: Settings) -> DataFrame:
     """cls of classes whose indexed values others share often enough."""
     value = classes.select("cls", "n", F.explode("sketch").alias("v"))
-    shared = value.groupBy("v").agg(F.count("*").alias("df")).where("df > 1").select("v")
+    # counts are written before they are joined back: a join straight above an aggregate
+    # on the same key cannot be split where one value has very many rows
+    shared = materialise(value.groupBy("v").agg(F.count("*").alias("df")).where("df > 1").select("v"), "shared")
     kept = F.least(F.col("n"), F.lit(s.index))
     return value.join(shared, "v").groupBy("cls", "n").agg(F.count("*").alias("m")).where(F.col("m") >= F.ceil(kept * s.least)).select("cls")
 
@@ -146,8 +148,10 @@ def _entries(sets: DataFrame, s: Settings) -> DataFrame:
 
     found = sets.select("cls", "n", "members").mapInArrow(run, "v bigint, cls binary, n bigint, cap bigint")
     # what no other member of the list can be small enough for leaves it
-    sized = found.groupBy("v").agg(F.min("n").alias("least"), F.count("*").alias("c")).where("c > 1")
-    fit = found.join(sized.select("v", "least"), "v").where("cap >= least").drop("least")
+    found = materialise(found, "rarest")
+    sized = materialise(found.groupBy("v").agg(F.min("n").alias("least"), F.count("*").alias("c")).where("c > 1"), "sizes")
+    fit = materialise(found.join(sized.select("v", "least"), "v").where("cap >= least").drop("least"), "lists")
+    release(found, sized)
     return fit
 
 
@@ -213,8 +217,9 @@ def _block_pairs(long: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
 
 def _links(sets: DataFrame, s: Settings) -> DataFrame | None:
     """Confirmed links (a, b) whose components are those of all links between the sets."""
-    entries = materialise(_entries(sets, s), "lists")
+    entries = _entries(sets, s)
     sized = entries.groupBy("v").agg(F.count("*").alias("c"), F.min(F.struct(-F.col("cap"), "n", "cls")).alias("first")).where("c > 1")
+    sized = materialise(sized, "sizes")
     lists = entries.join(sized.select("v", "c"), "v")
     few = lists.where(F.col("c") <= s.short).select("v", F.struct("cls", "n", "cap").alias("x"))
     held = few.groupBy("v").agg(F.array_sort(F.collect_list("x")).alias("held"))  # of s.short at most
@@ -226,14 +231,18 @@ def _links(sets: DataFrame, s: Settings) -> DataFrame | None:
     star = star.select(F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b"))
     links = materialise(_confirm(pair.union(star).distinct(), sets, s), "links", batch_rows=200)
     if long.isEmpty():
+        release(entries, sized)
         return links
     label = components(links) if not links.isEmpty() else None
     split = long.withColumn("component", F.col("cls"))
     if label is not None:
         split = long.join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("label", "cls")).drop("label")
     mixed = split.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("v")
+    mixed = materialise(mixed, "mixed")
     more = _confirm(_block_pairs(split.join(mixed, "v"), sets, s), sets, s)
-    return links.union(materialise(more, "links", batch_rows=200))
+    more = materialise(more, "links", batch_rows=200)
+    release(entries, sized, mixed)
+    return links.union(more)
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
@@ -254,7 +263,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     chosen = materialise(_candidates(classes, s), "candidates")
     picked = classes.join(chosen, "cls").select("cls", F.col("least_id").alias("doc_id"))
     sets = materialise(_full_sets(own, picked, s), "sets")
+    release(chosen)
     links = _links(sets, s)
+    release(sets)
     if links.isEmpty():
         groups = classes.select("cls", F.col("least_id").alias("component_id"))
     else:
