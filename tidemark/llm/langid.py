@@ -27,7 +27,7 @@ SWITCH = 6.0
 #: Added to each trigram count.
 SMOOTHING = 0.5
 #: Characters scored at once, and of the documents labelled at once.
-SCORE_CHARS, LABEL_CHARS = 2 << 20, 12 << 20
+SCORE_CHARS, LABEL_CHARS = 1 << 20, 12 << 20
 #: Most languages: CELLS * LANGUAGES * 4 bytes bounds what is broadcast (64 MB).
 LANGUAGES = 256
 
