@@ -171,7 +171,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text",
     """
     names = docs.columns
     rest = [c for c in names if c != text_col]
-    packed = docs.select(F.struct(*rest, F.lit(0).alias("_")).alias("doc_id"), F.col(text_col).alias("text"))
+    packed = docs.select(F.struct(*(rest or [F.lit(0).alias("none")])).alias("doc_id"), F.col(text_col).alias("text"))
     hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda total, x: total + x["hi"] - x["lo"])
     found = find_contamination(packed, items, keep_text=True, **options)
     return found.where(hit < min_hit_words).select(*[F.col("text").alias(c) if c == text_col else F.col("doc_id")[c].alias(c) for c in names])
