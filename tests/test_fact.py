@@ -91,4 +91,6 @@ def test_plot_view_has_every_bin(spark, late):
     schemas = spark.createDataFrame([("s1", [float(i) for i in range(9)])], "schema_id string, edges array<double>")
     serving.register_views(late, schemas)
     assert spark.sql("SELECT sum(cnt), count(*) FROM histogram_plot").first()[:] == (2, 10)
+    for view in ("increment_fact", "bin_schema", "histogram", "histogram_plot"):
+        spark.catalog.dropTempView(view)
     assert late.select(F.max("bin")).first()[0] == 7

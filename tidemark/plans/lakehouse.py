@@ -24,7 +24,7 @@ def _save(df: DataFrame, name: str, *partition: str) -> None:
 
 
 def reset(spark: SparkSession, database: str) -> None:
-    """Drop all tables and views of the layers."""
+    """Drop all tables of the layers."""
     for t in TABLES:
         spark.sql(f"DROP TABLE IF EXISTS {database}.{t}")
 
