@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from .frames import keyed, table
 
 #: Pre-tokens whose results a worker keeps.
-KEPT = 150_000
+KEPT = 100_000
 #: Characters of one batch of distinct pre-tokens that is merged at once.
 BATCH_CHARS = 1 << 20
 
@@ -172,7 +172,7 @@ def opened(path: str) -> Bpe:
     return _OPEN[path]
 
 
-def _slices(texts: list[str | None], size: int = 4 << 20):
+def _slices(texts: list[str | None], size: int = 1 << 20):
     at = 0
     while at < len(texts):
         end, chars = at, 0

@@ -22,7 +22,7 @@ from .frames import keyed, table
 from .textflat import chunks, words
 
 #: Characters of text per trie, and the longest pre-token that goes in one; longer ones are segmented alone.
-BATCH_BYTES, LONGEST = 8 << 20, 200
+BATCH_BYTES, LONGEST = 4 << 20, 200
 #: The mark before each pre-token.
 MARK = "▁"
 #: Scores are whole multiples of 1/UNITS nats; of equal scores fewer tokens win.
