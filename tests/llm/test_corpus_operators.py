@@ -266,6 +266,19 @@ def test_katz_edges(spark):
     assert katz.katz_scores(df.limit(0), held).isEmpty()
 
 
+def test_katz_vocabulary_does_not_shrink_as_the_corpus_grows(spark):
+    rows = [(1, "u v u v"), (2, "a " * 1_200_000), (3, "u v a"), (4, "v u new")]
+    got = {r["doc_id"]: r["score"] for r in katz.katz_scores(spark.createDataFrame(rows, SCHEMA), F.col("doc_id") > 2).collect()}
+    want, *_ = brute_katz([(t, i > 2) for i, t in rows], 0)
+    assert got == {i: pytest.approx(w[4], abs=1e-6) for (i, _), w in zip(rows, want)}
+
+
+def test_katz_unseen_words_have_the_good_turing_mass():
+    n = {1: 100.0, 2: 40.0, 3: 20.0, 4: 12.0, 5: 8.0, 6: 5.0}
+    d, scale, unseen = katz._rare_model(n, 100.0, 2)
+    assert 0 < d[1] < 1 and unseen == pytest.approx(1 - d[1]) and n[1] * d[1] / scale + unseen == pytest.approx(1.0)
+
+
 # pipeline
 
 

@@ -1,19 +1,20 @@
 """Katz backoff language model over words, counted and scored in partitioned tables.
 
-A vocabulary word has at least the share EPSILON of the training tokens, so there are
-never more than 1/EPSILON of them; all other words are one class, `rare`.  The model is a
-Katz bigram over these classes, backing off to class unigrams with weights that make each
-history's probabilities sum to one, times a Good-Turing unigram of the word within the
-rare class, where unseen words are one further type.
+A vocabulary word occurs at least twice in training, at any corpus size; the words seen once
+and those never seen are one class, `rare`.  The model is a Katz bigram over these classes,
+backing off to class unigrams with weights that make each history's probabilities sum to
+one, times a Good-Turing unigram of the word within the rare class, where unseen words are
+one further type.  Neither the driver nor a broadcast holds anything per word.
 
 1. Texts become blocks of word-hash streams (a table; a block is bounded in tokens).
-2. The blocks' distinct words, with counts and the documents they are in, are dealt to
-   parts by hash; a part has each of its words' total count and returns, per block, sums
-   for every document.  Parts also give the vocabulary and counts of counts.
-3. The same for class bigrams: a part merges the counts and keeps them beside the
-   blocks' postings; counts of counts and each history's sums give discounts and
-   backoff weights, of which there are at most 1/EPSILON.
-4. Each part's table is evaluated and the sums of a block's documents meet in the block.
+2. The blocks' distinct words and training counts are dealt to parts by hash; a part has
+   each of its words' total count and returns it to the blocks, which keep it.
+3. The same for class bigrams, dealt by the hash of the pair, so a frequent history is in
+   all parts: a part returns the pairs' counts to the blocks, and what its pairs add to the
+   sums of their histories.
+4. These sums and the blocks' histories meet by the hash of the history, which gives the
+   blocks the divisor and the backoff weight of each of theirs.
+5. A block then has all that its documents' scores need.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from __future__ import annotations
 import math
 import zlib
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,21 +33,32 @@ from pyspark.sql import functions as F
 from .frames import keyed, materialise, release, summed, table
 from .textflat import chunks, splitmix, words
 
-#: Least share of the training tokens of a vocabulary word.
-EPSILON = 1 / (1 << 18)
+#: If positive, a vocabulary word has this share of the training tokens at least, and the
+#: discounts within the rare class know rare words only.
+EPSILON = 0.0
 #: Counts up to this are discounted.
 DISCOUNTED = 5
 #: Tokens and documents of one block, and about how many tokens a part has.
 BLOCK_TOKENS, BLOCK_DOCS, PART_TOKENS = 1_000_000, 60_000, 4_000_000
-#: Class numbers; vocabulary words follow in the order of their hashes.
+#: Pairs are dealt in so many turns, which bounds the disk that is in use at once.
+TURNS = 2
+#: Classes of a block, which are their own hashes; its vocabulary words follow in their order.
 RARE, END, START, FIRST = range(4)
-_STRIDE = 1 << 20
 
 
 def _blob(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).tobytes()
 
 
+def _squeezed(x: np.ndarray) -> bytes:
+    """Compressed byte planes: of small numbers most are zero."""
+    return zlib.compress(_blob(x.view(np.uint8).reshape(-1, x.itemsize).T), 1)
+
+
+def _loosened(data: bytes, kind) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
 def _rows(**columns) -> pa.RecordBatch:
     kinds = {"block": pa.int64(), "part": pa.int32(), "kind": pa.string()}
     return pa.RecordBatch.from_pydict({k: pa.array(v, kinds.get(k, pa.binary())) for k, v in columns.items()})
@@ -92,54 +105,48 @@ def token_blocks(own: DataFrame) -> DataFrame:
     return own.mapInArrow(run, shape)
 
 
-def _deal(keys: np.ndarray, stream: np.ndarray, doc: np.ndarray, train: np.ndarray, block: int, parts: int):
-    """Rows that send distinct keys, training counts and postings to their parts."""
-    part = (splitmix(keys.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+def _deal(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order that puts keys by part, and where in it each part begins."""
+    part = (splitmix(keys) % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
-    place = np.empty(len(keys), dtype=np.int32)
-    place[order] = np.arange(len(keys), dtype=np.int32)
-    stream = place[stream]
-    by = np.argsort(stream, kind="stable")
-    sizes = np.bincount(stream, minlength=len(keys)).astype(np.int32)
-    trained = np.bincount(stream, weights=train[doc], minlength=len(keys)).astype(np.int32)
-    docs = doc[by].astype(np.uint16)
-    key_cut = np.searchsorted(part[order], np.arange(parts + 1))
-    token_cut = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))[key_cut]
-    keys = keys[order]
-    for p in np.flatnonzero(np.diff(key_cut)).tolist():
-        a, b = key_cut[p], key_cut[p + 1]
-        posting = docs[token_cut[p] : token_cut[p + 1]]
-        first = np.concatenate(([0], np.cumsum(sizes[a:b])))[:-1]
-        step = np.diff(posting, prepend=np.uint16(0))  # ascending within a key; wraps between keys
-        step[first] = posting[first]
-        planes = np.concatenate((step.view(np.uint8)[0::2], step.view(np.uint8)[1::2]))
-        yield _rows(part=[p], block=[block], keys=[_blob(keys[a:b])], trained=[_blob(trained[a:b])], sizes=[_blob(sizes[a:b])], docs=[zlib.compress(_blob(planes), 1)])
-
-
-_DEALT = "part int, block bigint, keys binary, trained binary, sizes binary, docs binary"
-
-
-def _postings(docs: bytes, sizes: np.ndarray) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(docs), dtype=np.uint8)
-    half = len(planes) // 2
-    step = planes[:half].astype(np.int64) | planes[half:].astype(np.int64) << 8
-    total = np.cumsum(step)
-    first = np.cumsum(sizes, dtype=np.int64) - sizes
-    return total - np.repeat(total[first] - step[first], sizes)
-
-
-def _merged(group: pa.Table, kind) -> tuple[np.ndarray, np.ndarray, list]:
-    """All distinct keys of a part, their training counts, and each row's positions among them."""
-    keys = [np.frombuffer(x.as_py(), dtype=kind) for x in group["keys"]]
-    unique, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    trained = np.concatenate([np.frombuffer(x.as_py(), dtype=np.int32) for x in group["trained"]])
-    counts = np.bincount(inverse, weights=trained, minlength=len(unique)).astype(np.int64)
-    cut = np.cumsum([0, *map(len, keys)])
-    return unique, counts, [inverse[a:b] for a, b in zip(cut, cut[1:])]
-
-
-def _table(**columns) -> pa.Table:
-    return pa.Table.from_batches([_rows(**columns)])
+    return order, np.searchsorted(part[order], np.arange(parts + 1))
+
+
+def _shares(order: np.ndarray, cut: np.ndarray):
+    """Each part that has keys, and where these are."""
+    for p in np.flatnonzero(np.diff(cut)).tolist():
+        yield p, order[cut[p] : cut[p + 1]]
+
+
+def _joined(group: pa.Table, column: str, kind, read=np.frombuffer) -> np.ndarray:
+    return np.concatenate([read(x.as_py(), kind) for x in group[column]])
+
+
+def _merged(group: pa.Table) -> tuple[np.ndarray, np.ndarray, list]:
+    """Where each distinct key of a part first is, its training count, and the counts for each row's keys."""
+    _, first, inverse = np.unique(_joined(group, "keys", np.uint64), return_index=True, return_inverse=True)
+    counts = np.bincount(inverse, weights=_joined(group, "trained", np.int32, _loosened), minlength=len(first)).astype(np.int64)
+    cut = np.cumsum([0, *(len(x.as_py()) // 8 for x in group["keys"])])
+    return first, counts, [_squeezed(counts[inverse[a:b]]) for a, b in zip(cut, cut[1:])]
+
+
+def _packed(found: list, part: int, blocks: list, *more: tuple) -> pa.Table:
+    """Rows (kind, part, block, data): `back` to the blocks, and more."""
+    rows = [*(("back", part, b, x) for b, x in zip(blocks, found, strict=True)), *more]
+    kind, part, block, data = zip(*rows, strict=True)
+    return pa.Table.from_batches([_rows(kind=kind, part=part, block=block, data=data)])
+
+
+_PACKED = "kind string, part int, block bigint, data binary"
+
+
+def _returned(group: pa.Table, kind: str, order: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """What the parts sent back for a block's keys, in the order of the keys."""
+    out = np.zeros(len(order), dtype=np.int64)
+    for what, p, data in zip(group["kind"].to_pylist(), group["part"].to_pylist(), group["data"], strict=True):
+        if what == kind:
+            out[order[cut[p] : cut[p + 1]]] = _loosened(data.as_py(), np.int64)
+    return out
 
 
 def good_turing(n: dict[int, float]) -> np.ndarray:
@@ -163,52 +170,33 @@ def _discounted(counts: np.ndarray, d: np.ndarray) -> np.ndarray:
 class Unigrams:
     total: int  # training tokens, ends included
     texts: int  # training documents
+    least: int  # count of a vocabulary word
     types: int
-    words: np.ndarray  # vocabulary hashes, sorted
-    counts: np.ndarray  # of the vocabulary
+    rare: int  # training tokens of the rare class
     discounts: np.ndarray  # within the rare class
     scale: float  # what discounted rare counts are divided by
     unseen: float  # probability of the unseen type within the rare class
 
-    @property
-    def rare(self) -> int:
-        return self.total - self.texts - int(self.counts.sum())
-
-    def history(self) -> np.ndarray:
-        """How often each class is a history in training."""
-        return np.concatenate(([self.rare, 0, self.texts], self.counts)).astype(float)
+    def within(self, counts: np.ndarray) -> np.ndarray:
+        """log10 P(word | rare) for rare words of these counts."""
+        return np.log10(np.where(counts > 0, _discounted(counts, self.discounts) / self.scale, max(self.unseen, 1e-300)))
 
-    def base(self) -> np.ndarray:
-        """Class unigram probabilities; the rare class has half a token more, so it is never impossible."""
-        c = np.concatenate(([self.rare + 0.5, self.texts, 0], self.counts)).astype(float)
-        return c / c.sum()
 
-
-def _rare_model(n: dict[int, float], mass: float) -> tuple[np.ndarray, float, float]:
+def _rare_model(n: dict[int, float], mass: float, least: int) -> tuple[np.ndarray, float, float]:
     """(discounts, divisor, unseen) of the words of the rare class, which sum to one with the unseen type."""
     if not mass:
         return np.ones(DISCOUNTED + 1), 1.0, 1.0
     d = good_turing(n)
-    kept = mass - sum(r * n.get(r, 0) * (1 - d[r]) for r in range(1, DISCOUNTED + 1))
+    kept = mass - sum(r * n.get(r, 0) * (1 - d[r]) for r in range(1, min(DISCOUNTED + 1, least)))
     scale = mass if mass - kept >= 0.5 else kept + 0.5  # at least half a token for the unseen
     return d, scale, 1 - kept / scale
 
 
-@dataclass
-class Bigrams:
-    discounts: np.ndarray
-    scale: np.ndarray  # per history: what discounted counts are divided by
-    backoff: np.ndarray  # per history
-    base: np.ndarray
-
-    def log10(self, a: np.ndarray, b: np.ndarray, r: np.ndarray) -> np.ndarray:
-        """log10 P(b | a): the discounted count if seen, else the lower order with the history's weight."""
-        seen = _discounted(r, self.discounts) / self.scale[a]
-        return np.log10(np.where(r > 0, seen, self.backoff[a] * self.base[b]))
-
+def _backoff(history: np.ndarray, kept: np.ndarray, covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(divisor of discounted counts, backoff weight) per history.
 
-def _backoff(history: np.ndarray, kept: np.ndarray, covered: np.ndarray, discounts: np.ndarray, base: np.ndarray) -> Bigrams:
-    """kept: discounted counts per history; covered: unigram probability of its seen successors."""
+    kept: its discounted counts; covered: unigram probability of its seen successors.
+    """
     free = 1 - covered
     full = (free < 1e-9) & (kept > 0)  # every class was seen after it
     scale = np.where(history - kept >= 0.5, history, kept + 0.5)
@@ -216,148 +204,184 @@ def _backoff(history: np.ndarray, kept: np.ndarray, covered: np.ndarray, discoun
     scale[history == 0] = 1.0
     left = np.where(history == 0, 1.0, 1 - kept / scale)
     weight = np.where(history == 0, 1.0, np.where(full, 0.0, left / np.maximum(free, 1e-300)))
-    return Bigrams(discounts, scale, weight, base)
+    return scale, weight
 
 
 def _word_parts(blocks: DataFrame, parts: int, least: int) -> DataFrame:
-    """kind, block, data: per block sums of its documents, the vocabulary, counts of counts."""
+    """Training counts back to the blocks, and a part's counts of counts with its rare tokens and its types."""
 
     def deal(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                counts = np.frombuffer(r["counts"], dtype=np.int32)
-                doc = np.repeat(np.arange(len(counts)), counts)
-                train = ~np.frombuffer(r["held"], dtype=bool)
-                yield from _deal(np.frombuffer(r["words"], dtype=np.uint64), np.frombuffer(r["stream"], dtype=np.int32), doc, train, r["block"], parts)
+                keys = np.frombuffer(r["words"], dtype=np.uint64)
+                train = np.repeat(~np.frombuffer(r["held"], dtype=bool), np.frombuffer(r["counts"], dtype=np.int32))
+                trained = np.bincount(np.frombuffer(r["stream"], dtype=np.int32)[train], minlength=len(keys)).astype(np.int32)
+                for p, k in _shares(*_deal(keys, parts)):
+                    yield _rows(part=[p], block=[r["block"]], keys=[_blob(keys[k])], trained=[_squeezed(trained[k])])
 
-    def reduce(group: pa.Table) -> pa.Table:
-        unique, counts, inverse = _merged(group, np.uint64)
-        often = counts >= least
-        n = np.bincount(np.minimum(counts[~often], DISCOUNTED + 2), minlength=DISCOUNTED + 3)
-        stat = np.concatenate((n[: DISCOUNTED + 2], [counts[~often].sum(), (counts > 0).sum()])).astype(np.int64)
-        kinds, ids, data = ["stat", "words", "counts"], [-1, int(unique[0] >> np.uint64(1)), int(unique[0] >> np.uint64(1))], [_blob(stat), _blob(unique[often]), _blob(counts[often])]
-        for k, at in enumerate(inverse):
-            sizes = np.frombuffer(group["sizes"][k].as_py(), dtype=np.int32)
-            doc = _postings(group["docs"][k].as_py(), sizes)
-            c = np.repeat(counts[at], sizes)
-            rare = c < least
-            n_docs = int(doc.max()) + 1
-            sums = [np.bincount(doc, weights=w, minlength=n_docs) for w in (np.log10(c + 0.5), np.where(rare & (c > DISCOUNTED), np.log10(np.maximum(c, 1)), 0.0))]
-            low = np.bincount(doc[rare & (c <= DISCOUNTED)] * (DISCOUNTED + 1) + c[rare & (c <= DISCOUNTED)], minlength=n_docs * (DISCOUNTED + 1)).reshape(n_docs, -1)
-            big = np.bincount(doc[rare & (c > DISCOUNTED)], minlength=n_docs)
-            kinds.append("sums")
-            ids.append(group["block"][k].as_py())
-            data.append(zlib.compress(np.int64(n_docs).tobytes() + _blob(np.stack(sums)) + _blob(np.column_stack((low, big)).T.astype(np.int32)), 1))
-        return _table(kind=kinds, block=ids, data=data)
-
-    return blocks.select("block", "held", "counts", "words", "stream").mapInArrow(deal, _DEALT).groupBy("part").applyInArrow(reduce, "kind string, block bigint, data binary")
-
-
-def _unigrams(found: DataFrame, total: int, texts: int) -> Unigrams:
-    """At most 1/EPSILON vocabulary words and a few numbers per part reach the driver."""
-    stat = np.zeros(DISCOUNTED + 4, dtype=np.int64)
-    for r in found.where("kind = 'stat'").select("data").collect():
-        stat += np.frombuffer(r["data"], dtype=np.int64)
-    rows = found.where("kind IN ('words', 'counts')").select("kind", "block", "data").collect()
-    held = {k: {r["block"]: r["data"] for r in rows if r["kind"] == k} for k in ("words", "counts")}
-    keys = sorted(held["words"])
-    hashes = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(held["words"][k], dtype=np.uint64) for k in keys)])
-    counts = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(held["counts"][k], dtype=np.int64) for k in keys)])
-    order = np.argsort(hashes)
-    n = {r: float(stat[r]) for r in range(1, DISCOUNTED + 2)}
-    d, scale, unseen = _rare_model(n, float(stat[DISCOUNTED + 2]))
-    return Unigrams(total, texts, int(stat[DISCOUNTED + 3]), hashes[order], counts[order], d, scale, unseen)
-
-
-def _bigram_parts(blocks: DataFrame, vocabulary, parts: int) -> DataFrame:
-    """part, kind, block, data: merged counts beside each block's keys and postings."""
-
-    def deal(batches):
-        known = vocabulary.value
-        for batch in batches:
-            for r in batch.to_pylist():
-                counts = np.frombuffer(r["counts"], dtype=np.int32).astype(np.int64)
-                hashes = np.frombuffer(r["words"], dtype=np.uint64)
-                at = np.minimum(np.searchsorted(known, hashes), max(0, len(known) - 1))
-                classes = np.where(known[at] == hashes, at + FIRST, RARE) if len(known) else np.zeros(len(hashes), np.int64)
-                n, first = len(counts), np.cumsum(counts) - counts
-                doc = np.repeat(np.arange(n), counts + 1)
-                place = np.arange(len(doc)) - np.repeat(first + np.arange(n), counts + 1)
-                end = place == counts[doc]
-                target = np.full(len(doc), END, dtype=np.int64)
-                target[~end] = classes[np.frombuffer(r["stream"], dtype=np.int32)]
-                history = np.concatenate(([START], target[:-1]))
-                history[place == 0] = START
-                keys, stream = np.unique(history * _STRIDE + target, return_inverse=True)
-                yield from _deal(keys, stream.astype(np.int32), doc, ~np.frombuffer(r["held"], dtype=bool), r["block"], parts)
+    everywhere = not EPSILON
 
     def reduce(group: pa.Table) -> pa.Table:
-        unique, counts, inverse = _merged(group, np.int64)
-        kinds, ids, data = ["table"], [-1], [_blob(np.stack((unique[counts > 0], counts[counts > 0])))]
-        for k, at in enumerate(inverse):
-            kinds.append("block")
-            ids.append(group["block"][k].as_py())
-            docs = group["docs"][k].as_py()
-            body = zlib.compress(group["keys"][k].as_py() + group["sizes"][k].as_py() + _blob(counts[at].astype(np.int32)), 1)
-            data.append(np.int64(len(body)).tobytes() + body + docs)
-        return _table(part=[group["part"][0].as_py()] * len(kinds), kind=kinds, block=ids, data=data)
-
-    dealt = blocks.select("block", "held", "counts", "words", "stream").mapInArrow(deal, _DEALT)
-    return dealt.groupBy("part").applyInArrow(reduce, "part int, kind string, block bigint, data binary")
-
+        _, counts, back = _merged(group)
+        rare = counts[counts < least]
+        n = np.bincount(np.minimum(counts if everywhere else rare, DISCOUNTED + 2), minlength=DISCOUNTED + 3)
+        part = group["part"][0].as_py()
+        return _packed(back, part, group["block"].to_pylist(), ("stat", part, -1, _blob(np.concatenate((n[: DISCOUNTED + 2], [rare.sum(), (counts > 0).sum()])).astype(np.int64))))
 
-def _counts_of_counts(found: DataFrame) -> dict[int, float]:
-    def run(batches):
-        n = np.zeros(DISCOUNTED + 2, dtype=np.int64)
-        for batch in batches:
-            for x in batch.column(0):
-                r = np.frombuffer(x.as_py(), dtype=np.int64).reshape(2, -1)[1]
-                n += np.bincount(r[r <= DISCOUNTED + 1], minlength=DISCOUNTED + 2)
-        yield pa.RecordBatch.from_pydict({"r": pa.array(range(DISCOUNTED + 2), pa.int32()), "n": pa.array(n)})
+    return blocks.select("block", "held", "counts", "words", "stream").mapInArrow(deal, "part int, block bigint, keys binary, trained binary").groupBy("part").applyInArrow(reduce, _PACKED)
 
-    got = found.where("kind = 'table'").select("data").mapInArrow(run, "r int, n bigint").groupBy("r").agg(F.sum("n").alias("n")).collect()
-    return {r["r"]: float(r["n"]) for r in got}
 
-
-def _history_sums(found: DataFrame, discounts: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Discounted counts and covered unigram probability per history, of which there are 1/EPSILON at most."""
-    sent = found.sparkSession.sparkContext.broadcast(base)
-    size = len(base)
+def _stats(found: DataFrame, size: int) -> np.ndarray:
+    """The sum of the parts' `stat` rows."""
 
     def count(batches):
-        total = np.zeros(2 * size)
+        total = np.zeros(size, dtype=np.int64)
         for batch in batches:
             for x in batch.column(0):
-                keys, r = np.frombuffer(x.as_py(), dtype=np.int64).reshape(2, -1)
-                a, b = keys // _STRIDE, keys % _STRIDE
-                total[:size] += np.bincount(a, weights=_discounted(r, discounts), minlength=size)
-                total[size:] += np.bincount(a, weights=sent.value[b], minlength=size)
+                total += np.frombuffer(x.as_py(), dtype=np.int64)
         return total
 
-    total = summed(found.where("kind = 'table'").select("data"), count, 2 * size, np.float64)
-    return total[:size], total[size:]
+    return summed(found.where("kind = 'stat'").select("data"), count, size)
+
+
+def _unigrams(found: DataFrame, total: int, texts: int, least: int) -> Unigrams:
+    stat = _stats(found, DISCOUNTED + 4)
+    rare = int(stat[DISCOUNTED + 2])
+    d, scale, unseen = _rare_model({r: float(stat[r]) for r in range(1, DISCOUNTED + 2)}, float(rare), least)
+    return Unigrams(total, texts, least, int(stat[DISCOUNTED + 3]), rare, d, scale, unseen)
+
+
+def _together(blocks: DataFrame, *found: DataFrame):
+    """Blocks and the rows that parts sent back to them, by block."""
+    names = [c for c in blocks.columns if c != "block"]
+    homes = blocks.select("block", F.lit("block").alias("kind"), F.lit(None).cast("int").alias("part"), F.lit(None).cast("binary").alias("data"), *names)
+    for rows in found:
+        homes = homes.union(rows.select("block", "kind", "part", "data", *[F.lit(None).cast(blocks.schema[c].dataType).alias(c) for c in names]))
+    return homes.groupBy("block")
+
+
+def _counted(blocks: DataFrame, found: DataFrame, parts: int) -> DataFrame:
+    """The blocks with `known`, the training counts of their words."""
+    names = blocks.columns
+
+    def place(group: pa.Table) -> pa.Table:
+        home = group.slice(group["kind"].to_pylist().index("block"), 1).select(names)
+        known = _returned(group, "back", *_deal(np.frombuffer(home["words"][0].as_py(), dtype=np.uint64), parts))
+        return home.append_column("known", pa.array([_blob(known)], pa.binary()))
+
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in blocks.schema) + ", known binary"
+    return _together(blocks, found.where("kind = 'back'")).applyInArrow(place, shape)
+
+
+class _Pairs:
+    """A block's classes and its distinct class bigrams."""
+
+    def __init__(self, r: dict, uni: Unigrams):
+        self.counts = np.frombuffer(r["counts"], dtype=np.int32).astype(np.int64)
+        self.held = np.frombuffer(r["held"], dtype=bool)
+        self.known, self.words = np.frombuffer(r["known"], dtype=np.int64), np.frombuffer(r["stream"], dtype=np.int32)
+        often = self.known >= uni.least
+        self.hashes = np.concatenate((np.arange(FIRST, dtype=np.uint64), np.frombuffer(r["words"], dtype=np.uint64)[often]))
+        #: How often each class is a history in training, and twice the weight of its unigram:
+        #: the rare class has half a token more, so it is never impossible.
+        self.history = np.concatenate(([uni.rare, 0, uni.texts], self.known[often]))
+        self.twice = np.concatenate(([2 * uni.rare + 1, 2 * uni.texts, 0], 2 * self.known[often]))
+        classes = np.where(often, np.cumsum(often) - 1 + FIRST, RARE)
+        counts, n = self.counts, len(self.counts)
+        self.doc = np.repeat(np.arange(n), counts + 1)
+        place = np.arange(len(self.doc)) - np.repeat(np.cumsum(counts) - counts + np.arange(n), counts + 1)
+        end = place == counts[self.doc]
+        target = np.full(len(self.doc), END, dtype=np.int64)
+        target[~end] = classes[self.words]
+        history = np.concatenate(([START], target[:-1]))
+        history[place == 0] = START
+        pairs, self.stream = np.unique(history << 32 | target, return_inverse=True)
+        self.a, self.b = pairs >> 32, pairs & 0xFFFFFFFF
+        self.keys = splitmix(splitmix(self.hashes[self.a] + np.uint64(0x9E3779B97F4A7C15)) + self.hashes[self.b])
+
+
+def _bigram_parts(blocks: DataFrame, uni: Unigrams, parts: int, turn: int) -> DataFrame:
+    """Of the parts whose turn it is: training counts back to the blocks, counts of counts, and `sums` of histories for the histories' parts.
+
+    A history's sums are the numbers of its pairs of each discounted count, and twice the
+    unigram weight of its seen successors.
+    """
 
+    def deal(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                x = _Pairs(r, uni)
+                trained = np.bincount(x.stream[~x.held[x.doc]], minlength=len(x.keys)).astype(np.int32)
+                for p, k in _shares(*_deal(x.keys, parts)):
+                    if p % TURNS != turn:
+                        continue
+                    first = np.flatnonzero(np.diff(x.a[k], prepend=-1))  # pairs of a history follow each other
+                    runs = np.diff(first, append=len(k)).astype(np.int32)
+                    yield _rows(part=[p], block=[r["block"]], keys=[_blob(x.keys[k])], trained=[_squeezed(trained[k])], history=[_blob(x.hashes[x.a[k[first]]])], runs=[_squeezed(runs)], twice=[_squeezed(x.twice[x.b[k]])])
+
+    def reduce(group: pa.Table) -> pa.Table:
+        first, counts, back = _merged(group)
+        first, counts = first[counts > 0], counts[counts > 0]
+        history, at = np.unique(np.repeat(_joined(group, "history", np.uint64), _joined(group, "runs", np.int32, _loosened))[first], return_inverse=True)
+        few = np.bincount(at * (DISCOUNTED + 2) + np.minimum(counts, DISCOUNTED + 1), minlength=len(history) * (DISCOUNTED + 2)).reshape(-1, DISCOUNTED + 2)
+        twice = np.bincount(at, weights=_joined(group, "twice", np.int64, _loosened)[first], minlength=len(history)).astype(np.int64)
+        stat = np.bincount(counts[counts <= DISCOUNTED + 1], minlength=DISCOUNTED + 2).astype(np.int64)
+        found = np.column_stack((twice, few[:, 1 : DISCOUNTED + 1]))
+        sums = [("sums", p, -1, np.int64(len(k)).tobytes() + _blob(history[k]) + _squeezed(found[k].T.reshape(-1))) for p, k in _shares(*_deal(history, parts))]
+        part = group["part"][0].as_py()
+        return _packed(back, part, group["block"].to_pylist(), ("stat", part, -1, _blob(stat)), *sums)
 
-def _evaluate(found: DataFrame, model: Bigrams) -> DataFrame:
-    """kind 'bigrams', block, data: sums of log10 P(class | history) per document of the block."""
-    sent = found.sparkSession.sparkContext.broadcast(model)
+    dealt = blocks.select("block", "held", "counts", "words", "stream", "known").mapInArrow(deal, "part int, block bigint, keys binary, trained binary, history binary, runs binary, twice binary")
+    return dealt.groupBy("part").applyInArrow(reduce, _PACKED)
 
-    def run(batches):
+
+def _history_parts(blocks: DataFrame, found: DataFrame, uni: Unigrams, parts: int) -> DataFrame:
+    """`sums` rows of a block's classes as histories, from those of all pairs."""
+
+    def ask(batches):
         for batch in batches:
-            for block, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = x.as_py()
-                size = int(np.frombuffer(raw[:8], dtype=np.int64)[0])
-                body = zlib.decompress(raw[8 : 8 + size])
-                n = len(body) // 16
-                keys = np.frombuffer(body[: 8 * n], dtype=np.int64)
-                sizes = np.frombuffer(body[8 * n : 12 * n], dtype=np.int32)
-                r = np.frombuffer(body[12 * n :], dtype=np.int32).astype(np.int64)
-                doc = _postings(raw[8 + size :], sizes)
-                value = sent.value.log10(keys // _STRIDE, keys % _STRIDE, r)
-                sums = np.bincount(doc, weights=np.repeat(value, sizes))
-                yield _rows(kind=["bigrams"], block=[block], data=[zlib.compress(_blob(sums), 1)])
-
-    return found.where("kind = 'block'").select("block", "data").mapInArrow(run, "kind string, block bigint, data binary")
+            for r in batch.to_pylist():
+                often = np.frombuffer(r["known"], dtype=np.int64) >= uni.least
+                hashes = np.concatenate((np.arange(FIRST, dtype=np.uint64), np.frombuffer(r["words"], dtype=np.uint64)[often]))
+                for p, k in _shares(*_deal(hashes, parts)):
+                    yield _rows(kind=["ask"], part=[p], block=[r["block"]], data=[_blob(hashes[k])])
+
+    def reduce(group: pa.Table) -> pa.Table:
+        keys, sums, asks = [np.zeros(0, np.uint64)], [np.zeros((1 + DISCOUNTED, 0), np.int64)], []
+        for kind, block, x in zip(group["kind"].to_pylist(), group["block"].to_pylist(), group["data"], strict=True):
+            raw = x.as_py()
+            if kind == "ask":
+                asks.append((block, np.frombuffer(raw, dtype=np.uint64)))
+            else:
+                n = int(np.frombuffer(raw[:8], dtype=np.int64)[0])
+                keys.append(np.frombuffer(raw[8 : 8 + 8 * n], dtype=np.uint64))
+                sums.append(_loosened(raw[8 + 8 * n :], np.int64).reshape(1 + DISCOUNTED, n))
+        known, at = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.zeros((1 + DISCOUNTED, len(known) + 1), dtype=np.int64)  # the last for histories without pairs
+        for row, values in zip(total, np.concatenate(sums, axis=1), strict=True):
+            np.add.at(row, at, values)
+        back = []
+        for _, hashes in asks:
+            k = np.searchsorted(known, hashes)
+            hit = k < len(known)
+            hit[hit] = known[k[hit]] == hashes[hit]
+            back.append(_squeezed(total[:, np.where(hit, k, len(known))].reshape(-1)))
+        part, n = group["part"][0].as_py(), len(asks)
+        return pa.Table.from_batches([_rows(kind=["sums"] * n, part=[part] * n, block=[b for b, _ in asks], data=back)])
+
+    asked = blocks.select("block", "words", "known").mapInArrow(ask, _PACKED)
+    return asked.union(found.where("kind = 'sums'")).groupBy("part").applyInArrow(reduce, _PACKED)
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table; Spark then drops the shuffle files that only led to it."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key)
+    conf.set(key, "true")
+    try:
+        return materialise(df.select("*"), name, compression="zstd", batch_rows=1)
+    finally:
+        conf.set(key, before)
 
 
 def katz_scores(docs: DataFrame, held: Column, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -369,7 +393,6 @@ def katz_scores(docs: DataFrame, held: Column, *, id_col: str = "doc_id", text_c
     the model gives the rare class everything.  Repeated rows each get a row and each count
     in training.  An empty table gives no rows.
     """
-    spark = docs.sparkSession
     own = keyed(docs, id_col, text_col, F.coalesce(held, F.lit(True)).alias("held"))
     blocks = materialise(token_blocks(own), "blocks", compression="zstd")
 
@@ -385,48 +408,43 @@ def katz_scores(docs: DataFrame, held: Column, *, id_col: str = "doc_id", text_c
     total, texts = (row["n"] or 0) + (row["t"] or 0), row["t"] or 0
     parts = max(1, math.ceil((row["a"] or 0) / PART_TOKENS))
     least = max(2, math.ceil(EPSILON * total))
-    by_word = materialise(_word_parts(blocks, parts, least), "words", batch_rows=1)
-    uni = _unigrams(by_word, total, texts)
-    by_pair = materialise(_bigram_parts(blocks, spark.sparkContext.broadcast(uni.words), parts), "bigrams", batch_rows=1)
-    discounts, base = good_turing(_counts_of_counts(by_pair)), uni.base()
-    model = _backoff(uni.history(), *_history_sums(by_pair, discounts, base), discounts, base)
+    by_word = _written(_word_parts(blocks, parts, least), "words")
+    uni = _unigrams(by_word, total, texts, least)
+    counted = _written(_counted(blocks, by_word, parts), "counted")
+    release(blocks, by_word)
+    by_pair = reduce(DataFrame.union, [_written(_bigram_parts(counted, uni, parts, k), "bigrams") for k in range(TURNS)])
+    stat = _stats(by_pair, DISCOUNTED + 2)
+    discounts = good_turing({r: float(stat[r]) for r in range(1, DISCOUNTED + 2)})
+    models = _written(_history_parts(counted, by_pair, uni, parts), "models")
     types = uni.types + (1 if texts else 0)  # the end is a type
     divisor = math.log10(total + 0.5 * (types + 1))
     end = math.log10(texts + 0.5)
-    low = np.array([math.log10(max(uni.unseen, 1e-300)), *(math.log10(r * uni.discounts[r] / uni.scale) for r in range(1, DISCOUNTED + 1))])
-    scale = math.log10(uni.scale)
     kind = own.schema["doc_id"].dataType.simpleString()
 
     def collect(group: pa.Table) -> pa.Table:
-        kinds = group["kind"].to_pylist()
-        home = kinds.index("block")
-        ids = group["ids"][home].values
-        n = len(ids)
-        counts = np.frombuffer(group["counts"][home].as_py(), dtype=np.int32).astype(np.int64)
-        held = np.frombuffer(group["held"][home].as_py(), dtype=bool)
-        base_sum, score, known = np.full(n, end), np.zeros(n), counts + int(texts > 0)
-        for what, data in zip(kinds, group["data"], strict=True):
-            if what == "bigrams":
-                sums = np.frombuffer(zlib.decompress(data.as_py()), dtype=np.float64)
-                score[: len(sums)] += sums
-            elif what == "sums":
-                raw = zlib.decompress(data.as_py())
-                m = int(np.frombuffer(raw[:8], dtype=np.int64)[0])
-                sums = np.frombuffer(raw[8 : 8 + 16 * m], dtype=np.float64).reshape(2, m)
-                few = np.frombuffer(raw[8 + 16 * m :], dtype=np.int32).reshape(DISCOUNTED + 2, m)
-                base_sum[:m] += sums[0]
-                score[:m] += sums[1] - scale * few[DISCOUNTED + 1] + low @ few[: DISCOUNTED + 1]
-                known[:m] -= few[0]
-        tokens = counts + 1
-        return pa.table({"doc_id": ids, "held_out": held, "n_tokens": tokens, "n_known": known, "train_tokens": np.full(n, total), "base_score": base_sum - tokens * divisor, "score": score})
-
-    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("ids", f"array<{kind}>"), ("held", "binary"), ("counts", "binary"))]
-    scores = materialise(_evaluate(by_pair, model), "scores", batch_rows=4)
-    release(by_pair)
-    sums = by_word.where("kind = 'sums'").union(scores).select("block", "kind", "data", *nothing)
-    homes = blocks.select("block", F.lit("block").alias("kind"), F.lit(None).cast("binary").alias("data"), "ids", "held", "counts")
+        home = group.slice(group["kind"].to_pylist().index("block"), 1)
+        ids = home["ids"].combine_chunks()[0].values
+        x = _Pairs({c: home[c][0].as_py() for c in ("held", "counts", "words", "stream", "known")}, uni)
+        r = _returned(group, "back", *_deal(x.keys, parts))
+        sums, (order, cut) = np.zeros((1 + DISCOUNTED, len(x.hashes)), dtype=np.int64), _deal(x.hashes, parts)
+        for what, p, data in zip(group["kind"].to_pylist(), group["part"].to_pylist(), group["data"], strict=True):
+            if what == "sums":
+                sums[:, order[cut[p] : cut[p + 1]]] = _loosened(data.as_py(), np.int64).reshape(1 + DISCOUNTED, -1)
+        lost = np.arange(1, DISCOUNTED + 1) * (1 - discounts[1:])
+        scale, weight = _backoff(x.history.astype(float), x.history - lost @ sums[1:], sums[0] / (2 * total + 1))
+        n, tokens = len(ids), x.counts + 1
+        # the discounted count if the pair was seen, else the lower order with the history's weight
+        value = np.log10(np.where(r > 0, _discounted(r, discounts) / scale[x.a], weight[x.a] * x.twice[x.b] / (2 * total + 1)))
+        score = np.bincount(x.doc, weights=value[x.stream], minlength=n)
+        doc, c = np.repeat(np.arange(n), x.counts), x.known[x.words]
+        rare = c < least
+        score += np.bincount(doc[rare], weights=uni.within(c[rare]), minlength=n)
+        base_sum = end + np.bincount(doc, weights=np.log10(c + 0.5), minlength=n)
+        known = x.counts + int(texts > 0) - np.bincount(doc[c == 0], minlength=n)
+        return pa.table({"doc_id": ids, "held_out": x.held, "n_tokens": tokens, "n_known": known, "train_tokens": np.full(n, total), "base_score": base_sum - tokens * divisor, "score": score})
+
     shape = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return homes.union(sums).groupBy("block").applyInArrow(collect, shape)
+    return _together(counted, by_pair.where("kind = 'back'"), models).applyInArrow(collect, shape)
 
 
 def op3_katz(spark, sf_dir: str) -> DataFrame:
