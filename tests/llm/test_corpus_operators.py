@@ -169,6 +169,14 @@ def test_removed_lines_are_brute_force(spark, docs, monkeypatch):
         assert r["text"] == "\n".join(kept)
 
 
+def test_a_frequent_block_of_short_lines_is_deleted(spark):
+    passage = [f"word{k} of a licence in six" for k in range(9)]
+    n = linededup.RARE + 30
+    rows = [(i, "\n".join([f"own first {i}", *passage, f"own last {i}"])) for i in range(n)]
+    got = {r["doc_id"]: r["removed_lines"] for r in linededup.dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: list(range(1, 10)) if i else [] for i in range(n)}
+
+
 def test_line_dedup_edges(spark):
     passage = "\n".join(f"line {k} of a passage that repeats here" for k in range(8))
     rows = [(1, None), (2, ""), (3, "short\nlines"), (4, "short\nlines"), (5, f"a b c\n{passage}\nend"), (6, f"other start\n{passage}"), (7, passage), (8, passage), (8, passage), (None, "only this line has quite a few words in it")]

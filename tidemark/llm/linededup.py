@@ -1,11 +1,11 @@
 """Line dedup across documents by pairwise alignment.
 
 Equal texts are one class, the copy with the least id being the first; later copies align
-with it as a whole.  Among the classes, a line hash that few of them hold (a rare line)
-pairs each later holder with the first one, so there are never more pairs than lines.
-Each pair is aligned by patience diff and aligned common blocks of enough words are
-deleted from the later document.  A line that many documents hold makes no pairs: it is a
-block of its own and is deleted wherever an earlier document holds it.
+with it as a whole.  Among the classes, a line hash pairs each later holder with the first
+one, however many hold it, so there are never more pairs than lines.  Each pair is aligned
+by patience diff and aligned common blocks of enough words are deleted from the later
+document.  A line that many documents hold is also a block of its own and is deleted
+wherever an earlier document holds it, in whatever order.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .frames import materialise, release, table
 from .textflat import _powers, chunks, splitmix, words
 
-#: A line that more classes hold than this is frequent; frequent lines make no pairs.
+#: A line that more classes hold than this is frequent, so also a block of its own.
 RARE = 100
 #: Words that a line needs to be looked for, and that a common block needs to be deleted.
 LINE_WORDS = 5
@@ -148,7 +148,7 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     line = line.select("t", "id", F.col("x.hashes").alias("h")).distinct()
     held = line.groupBy("h").agg(F.count("*").alias("df"), F.min(F.struct("id", "t")).alias("first")).where("df > 1")
     later = materialise(line.join(held, "h").where(F.col("t") != F.col("first.t")).select("t", "h", "df", F.col("first.t").alias("owner")), "held")
-    pairs = later.where(F.col("df") <= RARE).select("t", "owner").distinct()
+    pairs = later.select("t", "owner").distinct()
     a = classes.select(F.col("t").alias("owner"), F.col("hashes").alias("a"))
     b = classes.select("t", F.col("hashes").alias("b"), "sizes")
     aligned = pairs.join(b, "t").join(a, "owner").select("t", "a", "b", "sizes").mapInArrow(_align, "t binary, lines array<int>")
