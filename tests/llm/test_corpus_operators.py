@@ -177,6 +177,18 @@ def test_a_frequent_block_of_short_lines_is_deleted(spark):
     assert got == {i: list(range(1, 10)) if i else [] for i in range(n)}
 
 
+def test_the_first_holder_of_a_block_is_a_partner(spark):
+    block = ["one two three four five", "six seven eight nine ten", "a b c d"]
+    short = ["p q r", "s t u", "v w x"]  # no line that is looked for by itself
+    rows = [(1, f"{block[0]}\nalpha"), (2, f"beta\n{block[1]}"), (3, "\n".join(["gamma", *block, "", *short])), (4, "\n".join([*block, "delta"])), (5, "\n".join(["epsilon", *short, "zeta"]))]
+    got = {r["doc_id"]: r["removed_lines"] for r in linededup.dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: [], 2: [], 3: [], 4: [0, 1, 2], 5: [1, 2, 3]}
+    long = "one line that has eight words in it"
+    rows = [(1, long), (2, f"{long}\nx"), (3, f"{long}\nx\ny")]
+    got = {r["doc_id"]: r["removed_lines"] for r in linededup.dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: [], 2: [0], 3: [0, 1]}
+
+
 def test_line_dedup_edges(spark):
     passage = "\n".join(f"line {k} of a passage that repeats here" for k in range(8))
     rows = [(1, None), (2, ""), (3, "short\nlines"), (4, "short\nlines"), (5, f"a b c\n{passage}\nend"), (6, f"other start\n{passage}"), (7, passage), (8, passage), (8, passage), (None, "only this line has quite a few words in it")]

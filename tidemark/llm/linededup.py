@@ -1,8 +1,10 @@
 """Line dedup across documents by pairwise alignment.
 
 Equal texts are one class, the copy with the least id being the first; later copies align
-with it as a whole.  Among the classes, a line hash pairs each later holder with the first
-one, however many hold it, so there are never more pairs than lines.  Each pair is aligned
+with it as a whole.  Among the classes, the hash of a line, or of a run of lines that just
+reaches the words of a block, pairs each later holder with the first one, however many hold
+it, so there are never more than three pairs a line and the first holder of any part of a block
+that suffices by itself is a partner.  Each pair is aligned
 by patience diff and aligned common blocks of enough words are deleted from the later
 document.  A line that many documents hold is also a block of its own and is deleted
 wherever an earlier document holds it, in whatever order.
@@ -51,6 +53,31 @@ def line_hashes(texts: pa.Array):
         yield lo, per_row, hashes.view(np.int64), counts
 
 
+def run_hashes(hashes: np.ndarray, counts: np.ndarray, per_row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of two lines or more that just reach BLOCK_WORDS, and their number in each row.
+
+    One such run at most begins, and one ends, at each line that has words.  So every line
+    of a common block of enough words is itself long enough or in a run within the block.
+    """
+    stop = np.cumsum(counts)
+    ends = np.cumsum(per_row)
+    row = np.repeat(np.arange(len(per_row)), per_row)
+    last = np.searchsorted(stop, stop - counts + BLOCK_WORDS)
+    short = (counts > 0) & (counts < BLOCK_WORDS)
+    first = np.flatnonzero(short & (last < ends[row]))
+    back = np.searchsorted(stop - counts, stop - BLOCK_WORDS, side="right") - 1
+    final = np.flatnonzero(short & (back >= (ends - per_row)[row]))
+    size = np.concatenate((last[first] + 1 - first, final + 1 - back[final]))
+    first = np.concatenate((first, back[final]))
+    order = np.argsort(first, kind="stable")
+    first, size = first[order], size[order]
+    power, inverse = _powers(len(counts) + 1)
+    sums = np.zeros(len(counts) + 1, dtype=np.uint64)
+    np.cumsum(hashes.view(np.uint64) * power[: len(counts)], out=sums[1:])
+    found = splitmix((sums[first + size] - sums[first]) * inverse[first] + size.astype(np.uint64))
+    return found.view(np.int64), np.bincount(row[first], minlength=len(per_row))
+
+
 def _anchors(a: list, b: list, a_lo: int, a_hi: int, b_lo: int, b_hi: int) -> list[tuple[int, int]]:
     """Lines that occur once in either range, as the longest run that ascends in both."""
     once: dict = {}
@@ -140,12 +167,14 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             for lo, per_row, hashes, counts in line_hashes(batch.column(2)):
                 ends = pa.array(np.concatenate(([0], np.cumsum(per_row))).astype(np.int32))
                 part = batch.slice(lo, len(per_row))
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "t": part.column(1), "hashes": pa.ListArray.from_arrays(ends, pa.array(hashes)), "sizes": pa.ListArray.from_arrays(ends, pa.array(counts.astype(np.int32)))})
-
-    rows = materialise(own.mapInArrow(run, f"doc_id {kind}, t binary, hashes array<bigint>, sizes array<int>"), "lines")
-    classes = materialise(rows.groupBy("t").agg(F.min("doc_id").alias("id"), F.min("hashes").alias("hashes"), F.min("sizes").alias("sizes")), "classes")
-    line = classes.select("t", "id", F.explode(F.arrays_zip("hashes", "sizes")).alias("x")).where(F.col("x.sizes") >= LINE_WORDS)
-    line = line.select("t", "id", F.col("x.hashes").alias("h")).distinct()
+                runs, n_runs = run_hashes(hashes, counts, per_row)
+                run_ends = pa.array(np.concatenate(([0], np.cumsum(n_runs))).astype(np.int32))
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "t": part.column(1), "runs": pa.ListArray.from_arrays(run_ends, pa.array(runs)), "hashes": pa.ListArray.from_arrays(ends, pa.array(hashes)), "sizes": pa.ListArray.from_arrays(ends, pa.array(counts.astype(np.int32)))})
+
+    rows = materialise(own.mapInArrow(run, f"doc_id {kind}, t binary, runs array<bigint>, hashes array<bigint>, sizes array<int>"), "lines")
+    classes = materialise(rows.groupBy("t").agg(F.min("doc_id").alias("id"), F.min("runs").alias("runs"), F.min("hashes").alias("hashes"), F.min("sizes").alias("sizes")), "classes")
+    long = F.transform(F.filter(F.arrays_zip("hashes", "sizes"), lambda x: x["sizes"] >= LINE_WORDS), lambda x: x["hashes"])
+    line = classes.select("t", "id", F.explode(F.array_union(long, "runs")).alias("h"))  # distinct
     held = line.groupBy("h").agg(F.count("*").alias("df"), F.min(F.struct("id", "t")).alias("first")).where("df > 1")
     later = materialise(line.join(held, "h").where(F.col("t") != F.col("first.t")).select("t", "h", "df", F.col("first.t").alias("owner")), "held")
     pairs = later.select("t", "owner").distinct()
