@@ -35,10 +35,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, 0.8): the one with the least id."""
+    """One document of each group of near-duplicates (five-word shingles, 0.8): the one with the least id.
+
+    Rows of one id are told apart by their texts; of such rows in one group the one with
+    the least digest stays.
+    """
     bound_batches(spark)
-    gone = neardup.near_duplicates(docs).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
+    rows = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("t"), F.struct(*docs.columns).alias("row"))
+    found = neardup.near_duplicates(rows.select(F.struct("doc_id", "t").alias("doc_id"), F.col("row.text").alias("text")))
+    gone = found.where(~F.col("kept")).select(F.col("doc_id.doc_id").alias("gone_id"), F.col("doc_id.t").alias("gone_t")).distinct()
+    left = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("t") == F.col("gone_t")), "left_anti")
+    return left.select("row.*")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -325,6 +325,13 @@ def test_pipeline_is_its_stages(spark, sf_dir, docs):
         assert found[i]["ids"] == ids and found[i]["decoded_sha256"] == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_near_dedup_tells_rows_of_one_id_apart(spark, sf_dir):
+    near = " ".join(f"w{k}" for k in range(60))
+    rows = [(3, near), (5, near), (5, "a text that nothing else is like at all"), (None, None), (7, near + " more"), (7, None)]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), sf_dir).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([rows[0], rows[2], rows[3], rows[5]], key=str)
+
+
 def test_stages_keep_the_columns_and_take_odd_rows(spark, sf_dir):
     rows = [(1, None, "en", "s", 0), (2, "", None, None, None), (3, "123 456", "en", "s", 7), (4, "Der die das und der die Straße ist hier", None, "s", 1), (4, "Der die das und der die Straße ist hier", None, "s", 1), (None, "the of and to in is that for was a word", "en", "s", 2)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
