@@ -203,73 +203,58 @@ def test_line_dedup_edges(spark):
 # Katz
 
 
-def brute_katz(rows, epsilon):
-    """(counts and scores per row) by dictionaries."""
-    c, docs = collections.Counter(), 0
-    for t, held in rows:
-        if not held:
-            c.update(words(t))
-            docs += 1
-    total = sum(c.values()) + docs
-    least = max(2, math.ceil(total * epsilon))
-    cls = lambda w: w if c[w] >= least else 0
-    pairs, hist, uni = collections.Counter(), collections.Counter(), collections.Counter()
-    split = lambda t: ([cls(x) for x in words(t)] + ["\n"])
+def brute_katz(rows):
+    """(counts and scores per row, P(word | history), vocabulary, histories) by dictionaries over plain words."""
+    c, pairs, hist = collections.Counter(), collections.Counter(), collections.Counter()
+    split = lambda t: [*words(t), "\n"]
+    docs = 0
     for t, held in rows:
         if not held:
             s = split(t)
-            h = ["\t", *s[:-1]]
-            pairs.update(zip(h, s))
-            hist.update(h)
-            uni.update(s)
+            c.update(s)
+            pairs.update(zip(["\t", *s[:-1]], s))
+            hist.update(["\t", *s[:-1]])
+            docs += 1
+    total = sum(c.values())
     disc = lambda v, d: v * (d[v] if v <= katz.DISCOUNTED else 1)
-    d2 = katz.good_turing(collections.Counter(pairs.values()))
-    rare = [v for v in c.values() if v < least]
-    dr = katz.good_turing(collections.Counter(rare))
-    mass, kept = sum(rare), sum(disc(v, dr) for v in rare)
-    scale = mass if mass - kept >= 0.5 else kept + 0.5
-    unseen = 1 - kept / scale if mass else 1.0
-    p1 = lambda b: (uni[b] + (0.5 if b == 0 else 0)) / (total + 0.5)
-    held_mass, covered = collections.Counter(), collections.Counter()
+    d1, d2 = (katz.good_turing(collections.Counter(x.values())) for x in (c, pairs))
+    kept1 = sum(disc(v, d1) for v in c.values())
+    scale1 = total if total - kept1 >= 0.5 else kept1 + 0.5
+    p1 = lambda w: disc(c[w], d1) / scale1 if c[w] else 1 - kept1 / scale1 if total else 1.0
+    kept, covered = collections.Counter(), collections.Counter()
     for (a, b), v in pairs.items():
-        held_mass[a] += disc(v, d2)
+        kept[a] += disc(v, d2)
         covered[a] += p1(b)
 
     def p2(a, b):
         if not hist[a]:
             return p1(b)
-        divisor = hist[a] if hist[a] - held_mass[a] >= 0.5 else held_mass[a] + 0.5
-        if 1 - covered[a] < 1e-9:
-            divisor = held_mass[a]
+        scale = hist[a] if hist[a] - kept[a] >= 0.5 else kept[a] + 0.5
         v = pairs.get((a, b), 0)
-        return disc(v, d2) / divisor if v else (1 - held_mass[a] / divisor) / (1 - covered[a]) * p1(b)
+        return disc(v, d2) / scale if v else (1 - kept[a] / scale) / (1 - covered[a]) * p1(b)
 
-    types = len(c) + (1 if docs else 0)
     out = []
     for t, _ in rows:
         s = split(t)
         score = sum(math.log10(p2(a, b)) for a, b in zip(["\t", *s[:-1]], s))
-        score += sum(math.log10(disc(c[x], dr) / scale if c[x] else unseen) for x in words(t) if cls(x) == 0)
-        base = sum(math.log10((n + 0.5) / (total + 0.5 * (types + 1))) for n in [*(c[x] for x in words(t)), docs])
-        out.append((len(s), sum(c[x] > 0 for x in words(t)) + (docs > 0), total, base, score))
-    return out, p2, [*uni, 0] if 0 not in uni else list(uni), hist
+        base = sum(math.log10((c[x] + 0.5) / (total + 0.5 * (len(c) + 1))) for x in s)
+        out.append((len(s), sum(c[x] > 0 for x in s), total, base, score))
+    return out, p2, list(c), list(hist)
 
 
-@pytest.mark.parametrize("epsilon", [1 / (1 << 18), 1e-3])
-def test_katz_is_brute_force_and_normalised(spark, docs, monkeypatch, epsilon):
-    monkeypatch.setattr(katz, "EPSILON", epsilon)
+def test_katz_is_brute_force_and_normalised(spark, docs, sf_dir, monkeypatch):
     monkeypatch.setattr(katz, "PART_TOKENS", 40_000)
     monkeypatch.setattr(katz, "BLOCK_TOKENS", 20_000)
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows}
-    want, p2, classes, hist = brute_katz([(t, held[i]) for i, t in rows], epsilon)
-    got = {r["doc_id"]: r for r in katz.katz_scores(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1).collect()}
-    for (i, _), w in zip(rows, want):
+    want, p2, vocabulary, hist = brute_katz([(t, held[i]) for i, t in rows])
+    got = {r["doc_id"]: r for r in katz.op3_katz(spark, sf_dir).collect()}
+    for (i, _), w in zip(rows, want, strict=True):
         r = got[i]
         assert r["held_out"] == held[i] and (r["n_tokens"], r["n_known"], r["train_tokens"]) == w[:3]
         assert r["base_score"] == pytest.approx(w[3], abs=1e-6) and r["score"] == pytest.approx(w[4], abs=1e-6)
-    for a in [*list(hist)[:5], 0]:
-        assert sum(p2(a, b) for b in classes) == pytest.approx(1.0)
+    for a in [*hist[:20], *hist[-20:], "never seen"]:
+        assert sum(p2(a, b) for b in [*vocabulary, "unseen type"]) == pytest.approx(1.0)
     out = [r for r in got.values() if r["held_out"]]
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
@@ -278,25 +263,26 @@ def test_katz_edges(spark):
     rows = [(1, None), (2, ""), (3, "a b a b a b"), (3, "a b a b a b"), (4, "B a"), (None, "a c"), (5, "never seen"), (6, "a " * 70_000)]
     df = spark.createDataFrame([(i, t, 1.0) for i, t in rows], SCHEMA + ", score double")
     held = F.col("doc_id").isin(4, 5, 2)
-    want, *_ = brute_katz([(t, i in (4, 5, 2) or i is None) for i, t in rows], katz.EPSILON)
+    want, *_ = brute_katz([(t, i in (4, 5, 2) or i is None) for i, t in rows])
     got = sorted((r["doc_id"] or 0, r["n_tokens"], r["n_known"], round(r["base_score"], 4), round(r["score"], 4)) for r in katz.katz_scores(df, held).collect())
     assert got == sorted((i or 0, w[0], w[1], round(w[3], 4), round(w[4], 4)) for (i, _), w in zip(rows, want))
     nothing = katz.katz_scores(df, F.lit(True)).collect()
-    assert len(nothing) == len(rows) and all(r["n_known"] == 0 and r["score"] <= 0 for r in nothing)
+    assert len(nothing) == len(rows) and all(r["n_known"] == 0 and r["score"] == 0 for r in nothing)
     assert katz.katz_scores(df.limit(0), held).isEmpty()
 
 
 def test_katz_vocabulary_does_not_shrink_as_the_corpus_grows(spark):
     rows = [(1, "u v u v"), (2, "a " * 1_200_000), (3, "u v a"), (4, "v u new")]
     got = {r["doc_id"]: r["score"] for r in katz.katz_scores(spark.createDataFrame(rows, SCHEMA), F.col("doc_id") > 2).collect()}
-    want, *_ = brute_katz([(t, i > 2) for i, t in rows], 0)
+    want, *_ = brute_katz([(t, i > 2) for i, t in rows])
     assert got == {i: pytest.approx(w[4], abs=1e-6) for (i, _), w in zip(rows, want)}
 
 
-def test_katz_unseen_words_have_the_good_turing_mass():
+def test_katz_discounts_leave_the_good_turing_mass():
     n = {1: 100.0, 2: 40.0, 3: 20.0, 4: 12.0, 5: 8.0, 6: 5.0}
-    d, scale, unseen = katz._rare_model(n, 100.0, 2)
-    assert 0 < d[1] < 1 and unseen == pytest.approx(1 - d[1]) and n[1] * d[1] / scale + unseen == pytest.approx(1.0)
+    d = katz.good_turing(n)
+    assert all(0 < d[r] < 1 for r in range(1, 6))
+    assert sum(r * n[r] * (1 - d[r]) for r in range(1, 6)) == pytest.approx(n[1])
 
 
 # pipeline

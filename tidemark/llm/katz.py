@@ -1,20 +1,24 @@
 """Katz backoff language model over words, counted and scored in partitioned tables.
 
-A vocabulary word occurs at least twice in training, at any corpus size; the words seen once
-and those never seen are one class, `rare`.  The model is a Katz bigram over these classes,
-backing off to class unigrams with weights that make each history's probabilities sum to
-one, times a Good-Turing unigram of the word within the rare class, where unseen words are
-one further type.  Neither the driver nor a broadcast holds anything per word.
+The model is a bigram over plain words.  A bigram seen in training has its Good-Turing
+discounted count over its history's; else the history's backoff weight times the word's
+unigram probability, which is a discounted count again or, for a word never seen, the
+Good-Turing mass of one unseen type.  Each history's weight is what its discounted
+successors leave, over the unigram mass of the words not seen after it, so every
+history's probabilities sum to one.  The vocabulary is every word of the training texts,
+at any corpus size.  Neither the driver nor a broadcast holds anything per word.
 
 1. Texts become blocks of word-hash streams (a table; a block is bounded in tokens).
-2. The blocks' distinct words and training counts are dealt to parts by hash; a part has
-   each of its words' total count and returns it to the blocks, which keep it.
-3. The same for class bigrams, dealt by the hash of the pair, so a frequent history is in
-   all parts: a part returns the pairs' counts to the blocks, and what its pairs add to the
-   sums of their histories.
-4. These sums and the blocks' histories meet by the hash of the history, which gives the
-   blocks the divisor and the backoff weight of each of theirs.
+2. The blocks' distinct words with their training counts are dealt to parts by hash; a
+   part has each of its words' total count and returns it to the blocks.
+3. The same for bigrams, dealt by the hash of the pair, so a frequent history is in all
+   parts.  The part also tells one block of each bigram that it stands for it.
+4. A block adds up, for each of its histories, the bigrams that it stands for.  These sums
+   meet by the hash of the history and return to the blocks as divisor and weight.
 5. A block then has all that its documents' scores need.
+
+A part gets one row of packed keys from a block, so never more rows than a block has
+distinct keys, and a frequent word or pair is one key of each block.
 """
 
 from __future__ import annotations
@@ -22,7 +26,6 @@ from __future__ import annotations
 import math
 import zlib
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,17 +36,12 @@ from pyspark.sql import functions as F
 from .frames import keyed, materialise, release, summed, table
 from .textflat import chunks, splitmix, words
 
-#: If positive, a vocabulary word has this share of the training tokens at least, and the
-#: discounts within the rare class know rare words only.
-EPSILON = 0.0
 #: Counts up to this are discounted.
 DISCOUNTED = 5
 #: Tokens and documents of one block, and about how many tokens a part has.
 BLOCK_TOKENS, BLOCK_DOCS, PART_TOKENS = 1_000_000, 60_000, 4_000_000
-#: Pairs are dealt in so many turns, which bounds the disk that is in use at once.
-TURNS = 2
-#: Classes of a block, which are their own hashes; its vocabulary words follow in their order.
-RARE, END, START, FIRST = range(4)
+#: Places of the end and the start in a block's vocabulary, and their hashes; its words follow.
+END, START, FIRST = range(3)
 
 
 def _blob(x: np.ndarray) -> bytes:
@@ -118,37 +116,6 @@ def _shares(order: np.ndarray, cut: np.ndarray):
         yield p, order[cut[p] : cut[p + 1]]
 
 
-def _joined(group: pa.Table, column: str, kind, read=np.frombuffer) -> np.ndarray:
-    return np.concatenate([read(x.as_py(), kind) for x in group[column]])
-
-
-def _merged(group: pa.Table) -> tuple[np.ndarray, np.ndarray, list]:
-    """Where each distinct key of a part first is, its training count, and the counts for each row's keys."""
-    _, first, inverse = np.unique(_joined(group, "keys", np.uint64), return_index=True, return_inverse=True)
-    counts = np.bincount(inverse, weights=_joined(group, "trained", np.int32, _loosened), minlength=len(first)).astype(np.int64)
-    cut = np.cumsum([0, *(len(x.as_py()) // 8 for x in group["keys"])])
-    return first, counts, [_squeezed(counts[inverse[a:b]]) for a, b in zip(cut, cut[1:])]
-
-
-def _packed(found: list, part: int, blocks: list, *more: tuple) -> pa.Table:
-    """Rows (kind, part, block, data): `back` to the blocks, and more."""
-    rows = [*(("back", part, b, x) for b, x in zip(blocks, found, strict=True)), *more]
-    kind, part, block, data = zip(*rows, strict=True)
-    return pa.Table.from_batches([_rows(kind=kind, part=part, block=block, data=data)])
-
-
-_PACKED = "kind string, part int, block bigint, data binary"
-
-
-def _returned(group: pa.Table, kind: str, order: np.ndarray, cut: np.ndarray) -> np.ndarray:
-    """What the parts sent back for a block's keys, in the order of the keys."""
-    out = np.zeros(len(order), dtype=np.int64)
-    for what, p, data in zip(group["kind"].to_pylist(), group["part"].to_pylist(), group["data"], strict=True):
-        if what == kind:
-            out[order[cut[p] : cut[p + 1]]] = _loosened(data.as_py(), np.int64)
-    return out
-
-
 def good_turing(n: dict[int, float]) -> np.ndarray:
     """Katz discounts d[r], r = 0..DISCOUNTED, from counts of counts; 1 where the counts do not give one in (0, 1)."""
     k = DISCOUNTED
@@ -169,46 +136,95 @@ def _discounted(counts: np.ndarray, d: np.ndarray) -> np.ndarray:
 @dataclass
 class Unigrams:
     total: int  # training tokens, ends included
-    texts: int  # training documents
-    least: int  # count of a vocabulary word
-    types: int
-    rare: int  # training tokens of the rare class
-    discounts: np.ndarray  # within the rare class
-    scale: float  # what discounted rare counts are divided by
-    unseen: float  # probability of the unseen type within the rare class
-
-    def within(self, counts: np.ndarray) -> np.ndarray:
-        """log10 P(word | rare) for rare words of these counts."""
-        return np.log10(np.where(counts > 0, _discounted(counts, self.discounts) / self.scale, max(self.unseen, 1e-300)))
-
-
-def _rare_model(n: dict[int, float], mass: float, least: int) -> tuple[np.ndarray, float, float]:
-    """(discounts, divisor, unseen) of the words of the rare class, which sum to one with the unseen type."""
-    if not mass:
-        return np.ones(DISCOUNTED + 1), 1.0, 1.0
+    texts: int  # training documents, so also how often the end occurs
+    types: int  # the end included
+    discounts: np.ndarray
+    scale: float  # what discounted counts are divided by
+    unseen: float  # probability of the unseen type
+
+    def probability(self, counts: np.ndarray) -> np.ndarray:
+        return np.where(counts > 0, _discounted(counts, self.discounts) / self.scale, self.unseen)
+
+
+def unigram_model(n: dict[int, float], total: int, texts: int, types: int) -> Unigrams:
+    """From counts of counts of all types; the unseen type has at least half a token."""
+    if not total:
+        return Unigrams(0, 0, 0, np.ones(DISCOUNTED + 1), 1.0, 1.0)
     d = good_turing(n)
-    kept = mass - sum(r * n.get(r, 0) * (1 - d[r]) for r in range(1, min(DISCOUNTED + 1, least)))
-    scale = mass if mass - kept >= 0.5 else kept + 0.5  # at least half a token for the unseen
-    return d, scale, 1 - kept / scale
+    lost = sum(r * n.get(r, 0) * (1 - d[r]) for r in range(1, DISCOUNTED + 1))
+    scale = total if lost >= 0.5 else total - lost + 0.5
+    return Unigrams(total, texts, types, d, scale, 1 - (total - lost) / scale)
 
 
-def _backoff(history: np.ndarray, kept: np.ndarray, covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(divisor of discounted counts, backoff weight) per history.
+def backoff(history: np.ndarray, kept: np.ndarray, covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(divisor of discounted counts, backoff weight) per history; (1, 1) for one never seen.
 
-    kept: its discounted counts; covered: unigram probability of its seen successors.
+    history: its count; kept: its discounted counts; covered: unigram probability of its
+    seen successors, which is below 1 as the unseen type has a share.
     """
-    free = 1 - covered
-    full = (free < 1e-9) & (kept > 0)  # every class was seen after it
     scale = np.where(history - kept >= 0.5, history, kept + 0.5)
-    scale = np.where(full, np.maximum(kept, 1e-300), scale)
-    scale[history == 0] = 1.0
-    left = np.where(history == 0, 1.0, 1 - kept / scale)
-    weight = np.where(history == 0, 1.0, np.where(full, 0.0, left / np.maximum(free, 1e-300)))
-    return scale, weight
+    scale = np.where(history > 0, scale, 1.0)
+    return scale, np.where(history > 0, (1 - kept / scale) / (1 - covered), 1.0)
+
+
+class _Pairs:
+    """A block's words, end and start included, and its distinct bigrams."""
+
+    def __init__(self, r: dict, texts: int):
+        self.counts = np.frombuffer(r["counts"], dtype=np.int32).astype(np.int64)
+        self.held = np.frombuffer(r["held"], dtype=bool)
+        self.hashes = np.concatenate((np.array([END, START], np.uint64), np.frombuffer(r["words"], dtype=np.uint64)))
+        #: training counts as a history: the start precedes each text, nothing follows the end
+        self.known = np.concatenate(([texts, texts], np.frombuffer(r["known"], dtype=np.int64)))
+        counts, n = self.counts, len(self.counts)
+        self.doc = np.repeat(np.arange(n), counts + 1)
+        place = np.arange(len(self.doc)) - np.repeat(np.cumsum(counts) - counts + np.arange(n), counts + 1)
+        end = place == counts[self.doc]
+        target = np.full(len(self.doc), END, dtype=np.int64)
+        target[~end] = np.frombuffer(r["stream"], dtype=np.int32) + FIRST
+        history = np.concatenate(([START], target[:-1]))
+        history[place == 0] = START
+        pairs, self.stream = np.unique(history << 32 | target, return_inverse=True)
+        self.a, self.b = pairs >> 32, pairs & 0xFFFFFFFF
+        self.keys = splitmix(splitmix(self.hashes[self.a] + np.uint64(0x9E3779B97F4A7C15)) + self.hashes[self.b])
+
+    def trained(self) -> np.ndarray:
+        return np.bincount(self.stream[~self.held[self.doc]], minlength=len(self.keys)).astype(np.int32)
 
 
-def _word_parts(blocks: DataFrame, parts: int, least: int) -> DataFrame:
-    """Training counts back to the blocks, and a part's counts of counts with its rare tokens and its types."""
+def _merged(group: pa.Table, flagged: bool) -> tuple[np.ndarray, pa.Table]:
+    """A part's distinct training counts, and rows that return each block its keys' counts.
+
+    With `flagged`, twice the count, plus one for the row that stands for the key.
+    """
+    keys = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in group["keys"]])
+    trained = np.concatenate([_loosened(x.as_py(), np.int32) for x in group["trained"]])
+    _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+    counts = np.bincount(inverse, weights=trained, minlength=len(first)).astype(np.int64)
+    found = counts[inverse]
+    if flagged:
+        found *= 2
+        found[first[counts > 0]] += 1
+    cut = np.cumsum([0, *(len(x.as_py()) // 8 for x in group["keys"])])
+    n, part = len(cut) - 1, group["part"][0].as_py()
+    stat = np.bincount(np.minimum(counts, DISCOUNTED + 2), minlength=DISCOUNTED + 3)
+    return counts, pa.Table.from_batches([_rows(kind=[*["back"] * n, "stat"], part=[part] * (n + 1), block=[*group["block"].to_pylist(), -1], data=[*(_squeezed(found[a:b]) for a, b in zip(cut, cut[1:])), _blob(stat.astype(np.int64))])])
+
+
+_DEALT = "part int, block bigint, keys binary, trained binary"
+_BACK = "kind string, part int, block bigint, data binary"
+
+
+def _returned(rows: list[tuple[int, bytes]], order: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """What the parts sent back for a block's keys, in the order of the keys."""
+    out = np.zeros(len(order), dtype=np.int64)
+    for p, data in rows:
+        out[order[cut[p] : cut[p + 1]]] = _loosened(data, np.int64)
+    return out
+
+
+def _word_parts(blocks: DataFrame, parts: int) -> DataFrame:
+    """Training counts back to the blocks, and a part's counts of counts."""
 
     def deal(batches):
         for batch in batches:
@@ -219,158 +235,112 @@ def _word_parts(blocks: DataFrame, parts: int, least: int) -> DataFrame:
                 for p, k in _shares(*_deal(keys, parts)):
                     yield _rows(part=[p], block=[r["block"]], keys=[_blob(keys[k])], trained=[_squeezed(trained[k])])
 
-    everywhere = not EPSILON
+    return blocks.select("block", "held", "counts", "words", "stream").mapInArrow(deal, _DEALT).groupBy("part").applyInArrow(lambda group: _merged(group, False)[1], _BACK)
+
+
+def _record(row: pa.Table | pa.RecordBatch) -> dict:
+    """A block's row as bytes."""
+    r = {c: row[c][0].as_py() for c in ("held", "counts", "words", "stream")}
+    return r | {c: _blob(_loosened(row[c][0].as_py(), np.int64)) for c in ("known", "seen") if c in row.schema.names}
+
+
+def _records(batches):
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch["block"][k].as_py(), _record(batch.slice(k, 1))
 
-    def reduce(group: pa.Table) -> pa.Table:
-        _, counts, back = _merged(group)
-        rare = counts[counts < least]
-        n = np.bincount(np.minimum(counts if everywhere else rare, DISCOUNTED + 2), minlength=DISCOUNTED + 3)
-        part = group["part"][0].as_py()
-        return _packed(back, part, group["block"].to_pylist(), ("stat", part, -1, _blob(np.concatenate((n[: DISCOUNTED + 2], [rare.sum(), (counts > 0).sum()])).astype(np.int64))))
 
-    return blocks.select("block", "held", "counts", "words", "stream").mapInArrow(deal, "part int, block bigint, keys binary, trained binary").groupBy("part").applyInArrow(reduce, _PACKED)
+def _bigram_parts(blocks: DataFrame, texts: int, parts: int) -> DataFrame:
+    """The same for bigrams, with the flags of the blocks that stand for them."""
+
+    def deal(batches):
+        for block, r in _records(batches):
+            x = _Pairs(r, texts)
+            trained = x.trained()
+            for p, k in _shares(*_deal(x.keys, parts)):
+                yield _rows(part=[p], block=[block], keys=[_blob(x.keys[k])], trained=[_squeezed(trained[k])])
+
+    return blocks.select("block", "held", "counts", "words", "stream", "known").mapInArrow(deal, _DEALT).groupBy("part").applyInArrow(lambda group: _merged(group, True)[1], _BACK)
 
 
-def _stats(found: DataFrame, size: int) -> np.ndarray:
-    """The sum of the parts' `stat` rows."""
+def _stats(found: DataFrame) -> dict[int, float]:
+    """Counts of counts; the last cell holds all types of higher counts."""
 
     def count(batches):
-        total = np.zeros(size, dtype=np.int64)
+        total = np.zeros(DISCOUNTED + 3, dtype=np.int64)
         for batch in batches:
             for x in batch.column(0):
                 total += np.frombuffer(x.as_py(), dtype=np.int64)
         return total
 
-    return summed(found.where("kind = 'stat'").select("data"), count, size)
+    return dict(enumerate(summed(found.where("kind = 'stat'").select("data"), count, DISCOUNTED + 3).tolist()))
 
 
-def _unigrams(found: DataFrame, total: int, texts: int, least: int) -> Unigrams:
-    stat = _stats(found, DISCOUNTED + 4)
-    rare = int(stat[DISCOUNTED + 2])
-    d, scale, unseen = _rare_model({r: float(stat[r]) for r in range(1, DISCOUNTED + 2)}, float(rare), least)
-    return Unigrams(total, texts, least, int(stat[DISCOUNTED + 3]), rare, d, scale, unseen)
-
-
-def _together(blocks: DataFrame, *found: DataFrame):
+def _together(blocks: DataFrame, found: DataFrame):
     """Blocks and the rows that parts sent back to them, by block."""
     names = [c for c in blocks.columns if c != "block"]
     homes = blocks.select("block", F.lit("block").alias("kind"), F.lit(None).cast("int").alias("part"), F.lit(None).cast("binary").alias("data"), *names)
-    for rows in found:
-        homes = homes.union(rows.select("block", "kind", "part", "data", *[F.lit(None).cast(blocks.schema[c].dataType).alias(c) for c in names]))
-    return homes.groupBy("block")
+    return homes.union(found.select("block", "kind", "part", "data", *[F.lit(None).cast(blocks.schema[c].dataType).alias(c) for c in names])).groupBy("block")
+
 
+def _split(group: pa.Table) -> tuple[pa.Table, list[tuple[int, bytes]]]:
+    """A block's own row, and (part, data) of what was returned to it."""
+    kinds = group["kind"].to_pylist()
+    at = kinds.index("block")
+    return group.slice(at, 1), [(p, x.as_py()) for k, (p, x) in enumerate(zip(group["part"].to_pylist(), group["data"], strict=True)) if k != at]
 
-def _counted(blocks: DataFrame, found: DataFrame, parts: int) -> DataFrame:
-    """The blocks with `known`, the training counts of their words."""
+
+def _placed(blocks: DataFrame, found: DataFrame, name: str, keys) -> DataFrame:
+    """The blocks with a column of what the parts returned for keys(row), in that order."""
     names = blocks.columns
 
     def place(group: pa.Table) -> pa.Table:
-        home = group.slice(group["kind"].to_pylist().index("block"), 1).select(names)
-        known = _returned(group, "back", *_deal(np.frombuffer(home["words"][0].as_py(), dtype=np.uint64), parts))
-        return home.append_column("known", pa.array([_blob(known)], pa.binary()))
+        home, rows = _split(group)
+        home = home.select(names)
+        return home.append_column(name, pa.array([_squeezed(_returned(rows, *keys(home)))], pa.binary()))
 
-    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in blocks.schema) + ", known binary"
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in blocks.schema) + f", {name} binary"
     return _together(blocks, found.where("kind = 'back'")).applyInArrow(place, shape)
 
 
-class _Pairs:
-    """A block's classes and its distinct class bigrams."""
+def _history_parts(blocks: DataFrame, uni: Unigrams, parts: int) -> DataFrame:
+    """Per history of a block that training knows: numbers of its bigrams of each discounted count, and the unigram probability of its seen successors."""
 
-    def __init__(self, r: dict, uni: Unigrams):
-        self.counts = np.frombuffer(r["counts"], dtype=np.int32).astype(np.int64)
-        self.held = np.frombuffer(r["held"], dtype=bool)
-        self.known, self.words = np.frombuffer(r["known"], dtype=np.int64), np.frombuffer(r["stream"], dtype=np.int32)
-        often = self.known >= uni.least
-        self.hashes = np.concatenate((np.arange(FIRST, dtype=np.uint64), np.frombuffer(r["words"], dtype=np.uint64)[often]))
-        #: How often each class is a history in training, and twice the weight of its unigram:
-        #: the rare class has half a token more, so it is never impossible.
-        self.history = np.concatenate(([uni.rare, 0, uni.texts], self.known[often]))
-        self.twice = np.concatenate(([2 * uni.rare + 1, 2 * uni.texts, 0], 2 * self.known[often]))
-        classes = np.where(often, np.cumsum(often) - 1 + FIRST, RARE)
-        counts, n = self.counts, len(self.counts)
-        self.doc = np.repeat(np.arange(n), counts + 1)
-        place = np.arange(len(self.doc)) - np.repeat(np.cumsum(counts) - counts + np.arange(n), counts + 1)
-        end = place == counts[self.doc]
-        target = np.full(len(self.doc), END, dtype=np.int64)
-        target[~end] = classes[self.words]
-        history = np.concatenate(([START], target[:-1]))
-        history[place == 0] = START
-        pairs, self.stream = np.unique(history << 32 | target, return_inverse=True)
-        self.a, self.b = pairs >> 32, pairs & 0xFFFFFFFF
-        self.keys = splitmix(splitmix(self.hashes[self.a] + np.uint64(0x9E3779B97F4A7C15)) + self.hashes[self.b])
-
-
-def _bigram_parts(blocks: DataFrame, uni: Unigrams, parts: int, turn: int) -> DataFrame:
-    """Of the parts whose turn it is: training counts back to the blocks, counts of counts, and `sums` of histories for the histories' parts.
-
-    A history's sums are the numbers of its pairs of each discounted count, and twice the
-    unigram weight of its seen successors.
-    """
-
-    def deal(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                x = _Pairs(r, uni)
-                trained = np.bincount(x.stream[~x.held[x.doc]], minlength=len(x.keys)).astype(np.int32)
-                for p, k in _shares(*_deal(x.keys, parts)):
-                    if p % TURNS != turn:
-                        continue
-                    first = np.flatnonzero(np.diff(x.a[k], prepend=-1))  # pairs of a history follow each other
-                    runs = np.diff(first, append=len(k)).astype(np.int32)
-                    yield _rows(part=[p], block=[r["block"]], keys=[_blob(x.keys[k])], trained=[_squeezed(trained[k])], history=[_blob(x.hashes[x.a[k[first]]])], runs=[_squeezed(runs)], twice=[_squeezed(x.twice[x.b[k]])])
+    def ask(batches):
+        for block, r in _records(batches):
+            x = _Pairs(r, uni.texts)
+            seen = np.frombuffer(r["seen"], dtype=np.int64)
+            mine = np.flatnonzero(seen & 1)
+            n, width = len(x.hashes), DISCOUNTED + 2
+            few = np.bincount(x.a[mine] * width + np.minimum(seen[mine] >> 1, DISCOUNTED + 1), minlength=n * width).reshape(n, width)[:, 1 : DISCOUNTED + 1]
+            covered = np.bincount(x.a[mine], weights=uni.probability(x.known[x.b[mine]]), minlength=n)
+            for p, k in _shares(*_known_deal(x, parts)):
+                yield _rows(part=[p], block=[block], keys=[_blob(x.hashes[k])], few=[_squeezed(np.ascontiguousarray(few[k].T.reshape(-1)))], covered=[_blob(covered[k])])
 
     def reduce(group: pa.Table) -> pa.Table:
-        first, counts, back = _merged(group)
-        first, counts = first[counts > 0], counts[counts > 0]
-        history, at = np.unique(np.repeat(_joined(group, "history", np.uint64), _joined(group, "runs", np.int32, _loosened))[first], return_inverse=True)
-        few = np.bincount(at * (DISCOUNTED + 2) + np.minimum(counts, DISCOUNTED + 1), minlength=len(history) * (DISCOUNTED + 2)).reshape(-1, DISCOUNTED + 2)
-        twice = np.bincount(at, weights=_joined(group, "twice", np.int64, _loosened)[first], minlength=len(history)).astype(np.int64)
-        stat = np.bincount(counts[counts <= DISCOUNTED + 1], minlength=DISCOUNTED + 2).astype(np.int64)
-        found = np.column_stack((twice, few[:, 1 : DISCOUNTED + 1]))
-        sums = [("sums", p, -1, np.int64(len(k)).tobytes() + _blob(history[k]) + _squeezed(found[k].T.reshape(-1))) for p, k in _shares(*_deal(history, parts))]
-        part = group["part"][0].as_py()
-        return _packed(back, part, group["block"].to_pylist(), ("stat", part, -1, _blob(stat)), *sums)
+        keys = [np.frombuffer(x.as_py(), np.uint64) for x in group["keys"]]
+        known, at = np.unique(np.concatenate(keys), return_inverse=True)
+        few = np.zeros((DISCOUNTED, len(known)), dtype=np.int64)
+        own = np.concatenate([_loosened(x.as_py(), np.int64).reshape(DISCOUNTED, -1) for x in group["few"]], axis=1)
+        for row, values in zip(few, own, strict=True):
+            row += np.bincount(at, weights=values, minlength=len(known)).astype(np.int64)
+        covered = np.bincount(at, weights=np.concatenate([np.frombuffer(x.as_py(), np.float64) for x in group["covered"]]), minlength=len(known))
+        cut = np.cumsum([0, *map(len, keys)])
+        n = len(keys)
+        back = [_squeezed(few[:, at[a:b]].reshape(-1)) for a, b in zip(cut, cut[1:])]
+        mass = [_blob(covered[at[a:b]]) for a, b in zip(cut, cut[1:])]
+        data = [np.int64(len(x)).tobytes() + x + y for x, y in zip(back, mass, strict=True)]
+        return pa.Table.from_batches([_rows(kind=["back"] * n, part=[group["part"][0].as_py()] * n, block=group["block"].to_pylist(), data=data)])
 
-    dealt = blocks.select("block", "held", "counts", "words", "stream", "known").mapInArrow(deal, "part int, block bigint, keys binary, trained binary, history binary, runs binary, twice binary")
-    return dealt.groupBy("part").applyInArrow(reduce, _PACKED)
+    asked = blocks.select("block", "held", "counts", "words", "stream", "known", "seen").mapInArrow(ask, "part int, block bigint, keys binary, few binary, covered binary")
+    return asked.groupBy("part").applyInArrow(reduce, _BACK)
 
 
-def _history_parts(blocks: DataFrame, found: DataFrame, uni: Unigrams, parts: int) -> DataFrame:
-    """`sums` rows of a block's classes as histories, from those of all pairs."""
-
-    def ask(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                often = np.frombuffer(r["known"], dtype=np.int64) >= uni.least
-                hashes = np.concatenate((np.arange(FIRST, dtype=np.uint64), np.frombuffer(r["words"], dtype=np.uint64)[often]))
-                for p, k in _shares(*_deal(hashes, parts)):
-                    yield _rows(kind=["ask"], part=[p], block=[r["block"]], data=[_blob(hashes[k])])
-
-    def reduce(group: pa.Table) -> pa.Table:
-        keys, sums, asks = [np.zeros(0, np.uint64)], [np.zeros((1 + DISCOUNTED, 0), np.int64)], []
-        for kind, block, x in zip(group["kind"].to_pylist(), group["block"].to_pylist(), group["data"], strict=True):
-            raw = x.as_py()
-            if kind == "ask":
-                asks.append((block, np.frombuffer(raw, dtype=np.uint64)))
-            else:
-                n = int(np.frombuffer(raw[:8], dtype=np.int64)[0])
-                keys.append(np.frombuffer(raw[8 : 8 + 8 * n], dtype=np.uint64))
-                sums.append(_loosened(raw[8 + 8 * n :], np.int64).reshape(1 + DISCOUNTED, n))
-        known, at = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.zeros((1 + DISCOUNTED, len(known) + 1), dtype=np.int64)  # the last for histories without pairs
-        for row, values in zip(total, np.concatenate(sums, axis=1), strict=True):
-            np.add.at(row, at, values)
-        back = []
-        for _, hashes in asks:
-            k = np.searchsorted(known, hashes)
-            hit = k < len(known)
-            hit[hit] = known[k[hit]] == hashes[hit]
-            back.append(_squeezed(total[:, np.where(hit, k, len(known))].reshape(-1)))
-        part, n = group["part"][0].as_py(), len(asks)
-        return pa.Table.from_batches([_rows(kind=["sums"] * n, part=[part] * n, block=[b for b, _ in asks], data=back)])
-
-    asked = blocks.select("block", "words", "known").mapInArrow(ask, _PACKED)
-    return asked.union(found.where("kind = 'sums'")).groupBy("part").applyInArrow(reduce, _PACKED)
+def _known_deal(x: _Pairs, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """_deal of the block's histories that training knows, as places in its vocabulary."""
+    own = np.flatnonzero(x.known > 0)
+    order, cut = _deal(x.hashes[own], parts)
+    return own[order], cut
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
@@ -388,10 +358,11 @@ def katz_scores(docs: DataFrame, held: Column, *, id_col: str = "doc_id", text_c
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs.
 
     Learns from rows where `held` is false.  Words are `[^\\x20\\x09-\\x0D]+` after A-Z became
-    a-z; each text has one end token more.  Null and empty texts have only that.  Without
-    training rows nothing is known: base_score is then 0 per token (one type in all), and
-    the model gives the rare class everything.  Repeated rows each get a row and each count
-    in training.  An empty table gives no rows.
+    a-z; each text has one end token more.  Null and empty texts have only that; a text of
+    any length is scored whole, in a block of its own if it is very long.  Without training
+    rows nothing is known: base_score is then 0 per token (one type in all), and so is
+    score, as the unseen type has everything.  Null and repeated ids are as good as any:
+    each row gets a row and counts in training.  An empty table gives no rows.
     """
     own = keyed(docs, id_col, text_col, F.coalesce(held, F.lit(True)).alias("held"))
     blocks = materialise(token_blocks(own), "blocks", compression="zstd")
@@ -407,46 +378,50 @@ def katz_scores(docs: DataFrame, held: Column, *, id_col: str = "doc_id", text_c
     row = blocks.select("held", "counts").mapInArrow(sizes, "n bigint, t bigint, a bigint").agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.sum("a").alias("a")).first()
     total, texts = (row["n"] or 0) + (row["t"] or 0), row["t"] or 0
     parts = max(1, math.ceil((row["a"] or 0) / PART_TOKENS))
-    least = max(2, math.ceil(EPSILON * total))
-    by_word = _written(_word_parts(blocks, parts, least), "words")
-    uni = _unigrams(by_word, total, texts, least)
-    counted = _written(_counted(blocks, by_word, parts), "counted")
+    by_word = _written(_word_parts(blocks, parts), "words")
+    n = _stats(by_word)
+    if texts:  # the end is a type
+        n[min(texts, DISCOUNTED + 2)] += 1
+    uni = unigram_model(n, total, texts, sum(n[r] for r in range(1, DISCOUNTED + 3)))
+    counted = _written(_placed(blocks, by_word, "known", lambda home: _deal(np.frombuffer(home["words"][0].as_py(), dtype=np.uint64), parts)), "counted")
     release(blocks, by_word)
-    by_pair = reduce(DataFrame.union, [_written(_bigram_parts(counted, uni, parts, k), "bigrams") for k in range(TURNS)])
-    stat = _stats(by_pair, DISCOUNTED + 2)
-    discounts = good_turing({r: float(stat[r]) for r in range(1, DISCOUNTED + 2)})
-    models = _written(_history_parts(counted, by_pair, uni, parts), "models")
-    types = uni.types + (1 if texts else 0)  # the end is a type
-    divisor = math.log10(total + 0.5 * (types + 1))
-    end = math.log10(texts + 0.5)
+    by_pair = _written(_bigram_parts(counted, texts, parts), "bigrams")
+    discounts = good_turing(_stats(by_pair))
+    paired = _written(_placed(counted, by_pair, "seen", lambda home: _deal(_Pairs(_record(home), texts).keys, parts)), "paired")
+    release(counted, by_pair)
+    models = _written(_history_parts(paired, uni, parts), "models")
+    divisor = math.log10(total + 0.5 * (uni.types + 1))
     kind = own.schema["doc_id"].dataType.simpleString()
 
     def collect(group: pa.Table) -> pa.Table:
-        home = group.slice(group["kind"].to_pylist().index("block"), 1)
-        ids = home["ids"].combine_chunks()[0].values
-        x = _Pairs({c: home[c][0].as_py() for c in ("held", "counts", "words", "stream", "known")}, uni)
-        r = _returned(group, "back", *_deal(x.keys, parts))
-        sums, (order, cut) = np.zeros((1 + DISCOUNTED, len(x.hashes)), dtype=np.int64), _deal(x.hashes, parts)
-        for what, p, data in zip(group["kind"].to_pylist(), group["part"].to_pylist(), group["data"], strict=True):
-            if what == "sums":
-                sums[:, order[cut[p] : cut[p + 1]]] = _loosened(data.as_py(), np.int64).reshape(1 + DISCOUNTED, -1)
+        home, rows = _split(group)
+        ids, r = home["ids"].combine_chunks()[0].values, _record(home)
+        x, seen = _Pairs(r, texts), np.frombuffer(r["seen"], dtype=np.int64) >> 1
+        few, covered = np.zeros((DISCOUNTED, len(x.hashes))), np.zeros(len(x.hashes))
+        order, cut = _known_deal(x, parts)
+        for p, data in rows:
+            size = int(np.frombuffer(data[:8], dtype=np.int64)[0])
+            k = order[cut[p] : cut[p + 1]]
+            few[:, k] = _loosened(data[8 : 8 + size], np.int64).reshape(DISCOUNTED, -1)
+            covered[k] = np.frombuffer(data[8 + size :], dtype=np.float64)
         lost = np.arange(1, DISCOUNTED + 1) * (1 - discounts[1:])
-        scale, weight = _backoff(x.history.astype(float), x.history - lost @ sums[1:], sums[0] / (2 * total + 1))
-        n, tokens = len(ids), x.counts + 1
-        # the discounted count if the pair was seen, else the lower order with the history's weight
-        value = np.log10(np.where(r > 0, _discounted(r, discounts) / scale[x.a], weight[x.a] * x.twice[x.b] / (2 * total + 1)))
-        score = np.bincount(x.doc, weights=value[x.stream], minlength=n)
-        doc, c = np.repeat(np.arange(n), x.counts), x.known[x.words]
-        rare = c < least
-        score += np.bincount(doc[rare], weights=uni.within(c[rare]), minlength=n)
-        base_sum = end + np.bincount(doc, weights=np.log10(c + 0.5), minlength=n)
-        known = x.counts + int(texts > 0) - np.bincount(doc[c == 0], minlength=n)
-        return pa.table({"doc_id": ids, "held_out": x.held, "n_tokens": tokens, "n_known": known, "train_tokens": np.full(n, total), "base_score": base_sum - tokens * divisor, "score": score})
+        scale, weight = backoff(x.known.astype(float), x.known - lost @ few, covered)
+        # the discounted count if the bigram was seen, else the history's weight times the unigram
+        value = np.log10(np.where(seen > 0, _discounted(seen, discounts) / scale[x.a], weight[x.a] * uni.probability(x.known[x.b])))
+        target = x.known[x.b]
+        add = lambda v: np.bincount(x.doc, weights=v[x.stream], minlength=len(ids))
+        tokens = x.counts + 1
+        return pa.table({"doc_id": ids, "held_out": x.held, "n_tokens": tokens, "n_known": add((target > 0).astype(float)).astype(np.int64), "train_tokens": np.full(len(ids), total), "base_score": add(np.log10(target + 0.5)) - tokens * divisor, "score": add(value)})
 
     shape = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return _together(counted, by_pair.where("kind = 'back'"), models).applyInArrow(collect, shape)
+    return _together(paired, models).applyInArrow(collect, shape)
 
 
 def op3_katz(spark, sf_dir: str) -> DataFrame:
+    """Katz scores of all documents, learned from those whose crc32(doc_id) mod 5 is not 1.
+
+    One row per row of `documents`; a null text has only the end token, a null id is held
+    out.  See katz_scores for empty, very long and repeated rows.
+    """
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
     return katz_scores(table(spark, sf_dir, "documents"), held)
