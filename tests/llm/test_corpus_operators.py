@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,6 +112,32 @@ def test_large_families_lose_no_link(spark):
     check_groups(df, texts, neardup.Settings(shingle=4, short=4, block=16))
 
 
+def test_a_row_without_an_id_links_others(spark):
+    base = [f"w{k}" for k in range(100)]
+    tail, head = [f"x{k}" for k in range(6)], [f"y{k}" for k in range(6)]
+    a, b, c = (" ".join(x) for x in (base, [*base[:-6], *tail], [*head, *base[6:-6], *tail]))
+    sets = [shingle_set(t, 4) for t in (a, b, c)]
+    jaccard = lambda x, y: len(x & y) / len(x | y)
+    assert jaccard(sets[0], sets[1]) >= 0.8 and jaccard(sets[1], sets[2]) >= 0.8 > jaccard(sets[0], sets[2])
+    rows = [(1, a), (None, b), (3, c), (None, "nothing like it at all")]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA), settings=neardup.Settings(shingle=4)).collect()
+    assert sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in got), key=str) == sorted([(1, 1, True), (None, 1, True), (3, 1, False), (None, None, True)], key=str)
+
+
+def test_estimates_of_blocks_are_those_of_pairs():
+    rng = random.Random(4)
+    sets = []
+    for n in (5, 40, 128, 129, 200, 300, 1000):
+        sets.append(np.array(sorted(rng.sample(range(1, 2000), n)), dtype=np.uint64))
+        sets.append(np.unique(np.concatenate((sets[-1][: n * 3 // 4], np.array(rng.sample(range(2000, 4000), n // 8 + 1), dtype=np.uint64)))))
+    n = np.array([len(x) for x in sets])
+    got = neardup.block_estimates([x[:128] for x in sets], [x[:128] for x in sets], n, n, 128)
+    want = [[neardup.union_similarity(x, y, 128) for y in sets] for x in sets]
+    assert np.allclose(got, want, atol=1e-6)
+    whole = [[len(set(x) & set(y)) / len(set(x) | set(y)) for y in sets[:4]] for x in sets[:4]]
+    assert np.allclose([w[:4] for w in want[:4]], whole)
+
+
 def test_near_duplicate_edges(spark):
     rows = [(1, None), (2, ""), (3, " \n "), (4, "a"), (5, "A"), (6, "a b c"), (7, "a b c"), (7, "a b c"), (None, "q r s t u v"), (9, "word " * 30_000), (10, "word " * 30_001)]
     df = spark.createDataFrame([(*r, "x") for r in rows], SCHEMA + ", component_id string")

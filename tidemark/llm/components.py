@@ -31,4 +31,5 @@ def components(links: DataFrame) -> DataFrame:
         label = written.select("node", "label")
         if written.where("moved").isEmpty():
             release(both)
+            label._tidemark_path = written._tidemark_path
             return label

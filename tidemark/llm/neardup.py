@@ -2,22 +2,23 @@
 
 1. Every document gets its set of distinct word shingles as 64-bit hashes.  Documents
    with equal sets are one class; its sketch is the set's k least hashes.
-2. Inverted lists of the retained values count in how many classes each is.  A class
-   whose sketch shares too few values with any others cannot have a partner and leaves.
-3. For the remaining classes the lists hold each set's rarest values only: two sets with
-   Jaccard similarity t share one of their (1-t)n+1 rarest (rarity by hashed counts, any
-   total order being valid), and the value's position bounds the overlap.  A value in
-   thousands of sets is therefore only listed for sets that have little else.
+2. Inverted lists of the first retained values count in how many classes each is.  A
+   class that shares too few of them with any others cannot have a partner and leaves.
+3. For the remaining classes inverted lists of the retained values generate the overlaps.
+   Two sketches that share m of k values share one of their k-m+1 rarest (rarity by
+   hashed counts, any total order being valid), so only these are listed: a value in
+   thousands of sketches is listed for those that have little else.
 4. Lists of a few members give their pairs.  In a long list one member is paired with
    all others; after these links are confirmed and the linked members are merged, only
    members of different components are compared by sketch, in bounded blocks.
-5. The similarity estimated from the union's sketch drops most pairs, the rest are
+5. The similarity estimated from the sketch of the union drops most pairs, the rest are
    confirmed on the full sets.  Components of confirmed links are the groups.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,15 @@ class Settings:
     def similarity(self) -> float:
         return self.above / self.of
 
+    def needed(self, n: np.ndarray) -> np.ndarray:
+        """Retained values that a set of n shares with a linked partner, at least.
+
+        Exact where a partner retains its whole set too, else what the estimate demands.
+        """
+        t = self.similarity
+        exact = np.ceil(t * n - 1e-9)
+        return np.where(n <= t * self.sketch, exact, np.floor((t - self.slack) * np.minimum(n, self.sketch))).astype(np.int64)
+
 
 def _sets(texts: pa.Array, n: int):
     """For each chunk of rows: first row, set sizes, the sorted distinct shingle hashes of all rows."""
@@ -87,20 +97,21 @@ def _ragged(value: np.ndarray, sizes: np.ndarray, most: int | None = None) -> pa
 
 
 def sketches(own: DataFrame, s: Settings) -> DataFrame:
-    """doc_id, cls, n_shingles, sketch of each row of (doc_id, text)."""
+    """doc_id, t, cls, n_shingles, sketch of each row of (doc_id, t, text)."""
     kind = own.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            for lo, sizes, value in _sets(batch.column(1), s.shingle):
+            for lo, sizes, value in _sets(batch.column(2), s.shingle):
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": batch.column(0).slice(lo, len(sizes)),
+                    "t": batch.column(1).slice(lo, len(sizes)),
                     "cls": pa.array(_signatures(value, sizes), pa.binary()),
                     "n_shingles": pa.array(sizes, pa.int64()),
                     "sketch": _ragged(value, sizes, s.index),
                 })
 
-    return own.mapInArrow(run, f"doc_id {kind}, cls binary, n_shingles bigint, sketch array<bigint>")
+    return own.mapInArrow(run, f"doc_id {kind}, t binary, cls binary, n_shingles bigint, sketch array<bigint>")
 
 
 def _candidates(classes: DataFrame, s: Settings) -> DataFrame:
@@ -113,13 +124,22 @@ def _candidates(classes: DataFrame, s: Settings) -> DataFrame:
     return value.join(shared, "v").groupBy("cls", "n").agg(F.count("*").alias("m")).where(F.col("m") >= F.ceil(kept * s.least)).select("cls")
 
 
+def _retained(members: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(values, row of each, set sizes) of the k least values of each set."""
+    sizes = np.diff(np.asarray(members.offsets))
+    value = np.asarray(members.flatten()).view(np.uint64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    keep = np.arange(len(value)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < k
+    return value[keep], row[keep], sizes
+
+
 def _rarity(sets: DataFrame, s: Settings) -> np.ndarray:
-    """How many values of all sets fall in each cell; the array's size is fixed."""
+    """How many retained values of all sets fall in each cell; the array's size is fixed."""
 
     def count(batches):
         total = np.zeros(s.cells, dtype=np.int64)
         for batch in batches:
-            value = np.asarray(batch.column(0).flatten()).view(np.uint64)
+            value, _, _ = _retained(batch.column(0), s.sketch)
             total += np.bincount((value % np.uint64(s.cells)).astype(np.int64), minlength=s.cells)
         return total
 
@@ -127,52 +147,51 @@ def _rarity(sets: DataFrame, s: Settings) -> np.ndarray:
 
 
 def _entries(sets: DataFrame, s: Settings) -> DataFrame:
-    """v, cls, n, cap: the rarest values of each set; a partner has `cap` values at most."""
+    """v, cls, n: the inverted lists of the rarest retained values of each set."""
     rarity = sets.sparkSession.sparkContext.broadcast(_rarity(sets, s))
-    t = s.similarity
 
     def run(batches):
         counts = rarity.value
         for batch in batches:
-            sizes = np.diff(np.asarray(batch.column(2).offsets))
-            value = np.asarray(batch.column(2).flatten()).view(np.uint64)
+            value, row, sizes = _retained(batch.column(2), s.sketch)
+            held = np.minimum(sizes, s.sketch)
             rare = counts[value % np.uint64(s.cells)]
-            row = np.repeat(np.arange(len(sizes)), sizes)
             order = np.lexsort((value, rare, row))
-            place = np.arange(len(value)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            n = sizes[row]
-            keep = (place < n - np.ceil(t * n - 1e-9) + 1) & (rare[order] > 1)
-            cap = np.floor((n - place) * (1 + t) / t - n + 1e-9).astype(np.int64)
-            at = np.flatnonzero(keep)
-            yield pa.RecordBatch.from_pydict({"v": pa.array(value[order][at].view(np.int64)), "cls": batch.column(0).take(pa.array(row[at])), "n": pa.array(n[at], pa.int64()), "cap": pa.array(cap[at], pa.int64())})
+            place = np.arange(len(value)) - np.repeat(np.cumsum(held) - held, held)
+            at = np.flatnonzero((place <= (held - s.needed(sizes))[row]) & (rare[order] > 1))
+            yield pa.RecordBatch.from_pydict({"v": pa.array(value[order][at].view(np.int64)), "cls": batch.column(0).take(pa.array(row[at])), "n": pa.array(sizes[row[at]], pa.int64())})
 
-    found = sets.select("cls", "n", "members").mapInArrow(run, "v bigint, cls binary, n bigint, cap bigint")
-    # what no other member of the list can be small enough for leaves it
-    found = materialise(found, "rarest")
-    sized = materialise(found.groupBy("v").agg(F.min("n").alias("least"), F.count("*").alias("c")).where("c > 1"), "sizes")
-    fit = materialise(found.join(sized.select("v", "least"), "v").where("cap >= least").drop("least"), "lists")
-    release(found, sized)
-    return fit
+    return materialise(sets.select("cls", "n", "members").mapInArrow(run, "v bigint, cls binary, n bigint"), "lists")
 
 
-def _fits(a: str, b: str) -> Column:
-    return (F.col(f"{a}.n") <= F.col(f"{b}.cap")) & (F.col(f"{b}.n") <= F.col(f"{a}.cap"))
+def _fits(a: str, b: str, s: Settings) -> Column:
+    """Sets of these sizes can be as similar as asked."""
+    return (s.above * F.col(a) <= s.of * F.col(b)) & (s.above * F.col(b) <= s.of * F.col(a))
+
+
+def union_similarity(x: np.ndarray, y: np.ndarray, k: int) -> float:
+    """Estimate from the retained values of the union: those up to the least limit of the two sketches.
+
+    x and y are whole sorted sets; a set of k values or fewer has no limit.
+    """
+    limit = min([z[k - 1] for z in (x, y) if len(z) > k], default=None)
+    x, y = (z[:k] if limit is None else z[: min(k, int(np.searchsorted(z, limit, side="right")))] for z in (x, y))
+    shared = int(np.isin(x, y, assume_unique=True).sum())
+    return shared / max(1, len(x) + len(y) - shared)
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     """The pairs (a, b) whose sets are similar: estimate on the union's sketch, then exactly."""
     a = sets.select(F.col("cls").alias("a"), F.col("members").alias("x"))
     b = sets.select(F.col("cls").alias("b"), F.col("members").alias("y"))
-    k, low = s.sketch, s.similarity - s.slack
+    low = s.similarity - s.slack
 
     def run(batches):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.asarray(x.values).view(np.uint64), np.asarray(y.values).view(np.uint64)
-                both = np.union1d(x[:k], y[:k])[:k]
-                seen = np.isin(both, x[:k], assume_unique=True) & np.isin(both, y[:k], assume_unique=True)
-                if seen.sum() < low * len(both):
+                if union_similarity(x, y, s.sketch) < low:
                     keep.append(False)
                     continue
                 common = len(x) + len(y) - len(np.union1d(x, y))
@@ -182,6 +201,39 @@ def _confirm(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
+#: Values of one step of the product that counts the overlaps of two blocks.
+STEP = 2048
+
+
+def block_estimates(left: list[np.ndarray], right: list[np.ndarray], n_left: np.ndarray, n_right: np.ndarray, k: int) -> np.ndarray:
+    """union_similarity of each sketch on the left with each on the right."""
+    sizes = [np.array([len(x) for x in side], dtype=np.int64) for side in (left, right)]
+    value = [np.concatenate(side) for side in (left, right)]
+    row = [np.repeat(np.arange(len(n)), n) for n in sizes]
+    common = np.intersect1d(*value)
+    shared = np.zeros((len(left), len(right)), dtype=np.float32)
+    at = [np.searchsorted(common, v) for v in value]
+    hit = [a < len(common) for a in at]
+    for side in range(2):
+        hit[side][hit[side]] = common[at[side][hit[side]]] == value[side][hit[side]]
+    for lo in range(0, len(common), STEP):
+        dense = []
+        for side in range(2):
+            here = hit[side] & (at[side] >= lo) & (at[side] < lo + STEP)
+            x = np.zeros((len(sizes[side]), min(STEP, len(common) - lo)), dtype=np.float32)
+            x[row[side][here], at[side][here] - lo] = 1
+            dense.append(x)
+        shared += dense[0] @ dense[1].T
+    top = np.uint64(2**64 - 1)
+    limit = [np.array([x[-1] if m > k else top for x, m in zip(side, n, strict=True)], dtype=np.uint64) for side, n in ((left, n_left), (right, n_right))]
+    within = np.empty((2, len(left), len(right)), dtype=np.float32)  # retained values up to the pair's limit
+    for i, x in enumerate(left):
+        within[0, i] = np.searchsorted(x, limit[1], side="right")
+    for j, y in enumerate(right):
+        within[1, :, j] = np.searchsorted(y, limit[0], side="right")
+    return shared / np.maximum(1, within[0] + within[1] - shared)
+
+
 def _block_pairs(long: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     """Pairs of members of long lists, in different components, that the sketches do not rule out."""
     k, low = s.sketch, s.similarity - s.slack
@@ -189,60 +241,54 @@ def _block_pairs(long: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     blocks = F.ceil(F.col("c") / s.block)
     own = own.withColumn("mine", F.pmod(F.xxhash64("cls"), blocks))
     own = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
-    own = own.select("v", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "cls", "n", "cap", "component", "sketch")
+    own = own.select("v", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "cls", "n", "component", "sketch")
 
     def run(group: pa.Table) -> pa.Table:
-        sizes, caps = np.asarray(group["n"]), np.asarray(group["cap"])
-        cls = group["cls"].to_pylist()
+        sizes = np.asarray(group["n"])
+        cls = np.array(group["cls"].to_pylist(), dtype=object)
         _, label = np.unique(np.array(group["component"].to_pylist(), dtype=object), return_inverse=True)
         block, i, j = np.asarray(group["mine"]), group["i"][0].as_py(), group["j"][0].as_py()
         sketch = [np.asarray(x.values).view(np.uint64) for x in group["sketch"]]
-        left = np.flatnonzero(block == i)
-        right = np.flatnonzero(block == j)
-        a, b = [], []
-        for x in left:
-            other = right[(label[right] != label[x]) & (sizes[right] <= caps[x]) & (sizes[x] <= caps[right])]
-            if i == j:
-                other = other[other > x]
-            for y in other:
-                both = np.union1d(sketch[x], sketch[y])[:k]
-                seen = np.isin(both, sketch[x], assume_unique=True) & np.isin(both, sketch[y], assume_unique=True)
-                if seen.sum() >= low * len(both):
-                    a.append(min(cls[x], cls[y]))
-                    b.append(max(cls[x], cls[y]))
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        if not len(left) or not len(right):
+            return pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary())})
+        near = block_estimates([sketch[x] for x in left], [sketch[y] for y in right], sizes[left], sizes[right], k) >= low
+        near &= label[left][:, None] != label[right][None, :]
+        x, y = (side[at] for side, at in zip((left, right), np.nonzero(near), strict=True))
+        fit = (s.above * sizes[x] <= s.of * sizes[y]) & (s.above * sizes[y] <= s.of * sizes[x]) & ((i != j) | (x < y))
+        both = [(min(p, q), max(p, q)) for p, q in zip(cls[x[fit]], cls[y[fit]], strict=True)]
+        return pa.table({"a": pa.array([p for p, _ in both], pa.binary()), "b": pa.array([q for _, q in both], pa.binary())})
 
     return own.groupBy("v", "i", "j").applyInArrow(run, "a binary, b binary").distinct()
 
 
-def _links(sets: DataFrame, s: Settings) -> DataFrame | None:
-    """Confirmed links (a, b) whose components are those of all links between the sets."""
+def _links(sets: DataFrame, s: Settings) -> list[DataFrame]:
+    """Tables of confirmed links (a, b) whose components are those of all links between the sets."""
     entries = _entries(sets, s)
-    sized = entries.groupBy("v").agg(F.count("*").alias("c"), F.min(F.struct(-F.col("cap"), "n", "cls")).alias("first")).where("c > 1")
+    sized = entries.groupBy("v").agg(F.count("*").alias("c"), F.min(F.struct("cls", "n")).alias("first")).where("c > 1")
     sized = materialise(sized, "sizes")
     lists = entries.join(sized.select("v", "c"), "v")
-    few = lists.where(F.col("c") <= s.short).select("v", F.struct("cls", "n", "cap").alias("x"))
+    few = lists.where(F.col("c") <= s.short).select("v", F.struct("cls", "n").alias("x"))
     held = few.groupBy("v").agg(F.array_sort(F.collect_list("x")).alias("held"))  # of s.short at most
     pair = held.select(F.posexplode("held").alias("i", "x"), "held").select("x", F.explode(F.slice("held", F.col("i") + 2, s.short)).alias("y"))
-    pair = pair.where(_fits("x", "y")).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
+    pair = pair.where(_fits("x.n", "y.n", s)).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
     long = lists.where(F.col("c") > s.short)
-    pivot = sized.where(F.col("c") > s.short).select("v", F.col("first.cls").alias("p"), F.col("first.n").alias("pn"), (-F.col("first.col1")).alias("pc"))
-    star = long.join(pivot, "v").where((F.col("cls") != F.col("p")) & (F.col("n") <= F.col("pc")) & (F.col("pn") <= F.col("cap")))
+    pivot = sized.where(F.col("c") > s.short).select("v", F.col("first.cls").alias("p"), F.col("first.n").alias("pn"))
+    star = long.join(pivot, "v").where((F.col("cls") != F.col("p")) & _fits("n", "pn", s))
     star = star.select(F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b"))
     links = materialise(_confirm(pair.union(star).distinct(), sets, s), "links", batch_rows=200)
     if long.isEmpty():
         release(entries, sized)
-        return links
+        return [links]
     label = components(links) if not links.isEmpty() else None
     split = long.withColumn("component", F.col("cls"))
     if label is not None:
         split = long.join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("label", "cls")).drop("label")
     mixed = split.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("v")
     mixed = materialise(mixed, "mixed")
-    more = _confirm(_block_pairs(split.join(mixed, "v"), sets, s), sets, s)
-    more = materialise(more, "links", batch_rows=200)
+    more = materialise(_confirm(_block_pairs(split.join(mixed, "v"), sets, s), sets, s), "links", batch_rows=200)
     release(entries, sized, mixed)
-    return links.union(more)
+    return [links, more]
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
@@ -250,45 +296,55 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     component_id is the least doc_id reachable by links, the row's own included.  Words
     are `[^\\x20\\x09-\\x0D]+` after A-Z became a-z; a text of fewer words than a shingle
-    is one shingle.  Null and empty texts have no shingles and are linked with nothing.
-    Equal texts are always linked; rows with the same id are told apart by their texts.
-    An empty table gives no rows.
+    is one shingle.  Null and empty texts have no shingles and are linked with nothing.  A
+    text of any length has its whole set.  Equal texts are always linked, so repeated rows
+    each get the same component and, if their id is the least, are all kept.  A row
+    without an id links others as any row does and takes their component; it has none of
+    its own to give and counts as kept.  An empty table gives no rows.
     """
     s = settings
-    own = keyed(docs, id_col, text_col)
+    own = keyed(docs, id_col, text_col).select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("t"), "text")
     found = materialise(sketches(own, s), "sketches")
     filled = found.where(F.col("cls").isNotNull())
-    classes = filled.groupBy("cls").agg(F.min("n_shingles").alias("n"), F.min("sketch").alias("sketch"), F.min("doc_id").alias("least_id"))
+    # the row whose text stands for a class is known by id and digest, as ids can be null or repeat
+    classes = filled.groupBy("cls").agg(F.min("n_shingles").alias("n"), F.min("sketch").alias("sketch"), F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "t")).alias("of"))
     classes = materialise(classes, "classes")
     chosen = materialise(_candidates(classes, s), "candidates")
-    picked = classes.join(chosen, "cls").select("cls", F.col("least_id").alias("doc_id"))
+    picked = classes.join(chosen, "cls").select(F.col("of.doc_id").alias("at"), F.col("of.t").alias("of_t"))
     sets = materialise(_full_sets(own, picked, s), "sets")
     release(chosen)
     links = _links(sets, s)
     release(sets)
-    if links.isEmpty():
-        groups = classes.select("cls", F.col("least_id").alias("component_id"))
-    else:
-        label = components(links)
-        named = classes.select("cls", "least_id").join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-        least = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
-        groups = named.join(least, "label").select("cls", "component_id")
-    out = found.join(groups, "cls", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    label = components(reduce(DataFrame.union, links))
+    release(*links)
+    # written, so that the joins with a hot label or class can be split
+    named = classes.select("cls", "least_id").join(label.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "least_id", F.coalesce("label", "cls").alias("label"))
+    named = materialise(named, "named")
+    least = materialise(named.groupBy("label").agg(F.min("least_id").alias("component_id")), "least")
+    groups = materialise(named.join(least, "label").select("cls", "component_id"), "groups")
+    release(classes, label, named, least)
+    out = filled.join(groups, "cls").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = out.union(found.where(F.col("cls").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def _full_sets(own: DataFrame, picked: DataFrame, s: Settings) -> DataFrame:
-    """cls, n, members (sorted) of the picked classes, from the texts of their first documents."""
+    """cls, n, members (sorted) of the picked classes, from the texts that stand for them."""
 
     def run(batches):
         for batch in batches:
             for _, sizes, value in _sets(batch.column(0), s.shingle):
                 yield pa.RecordBatch.from_pydict({"cls": pa.array(_signatures(value, sizes), pa.binary()), "n": pa.array(sizes, pa.int64()), "members": _ragged(value, sizes)})
 
-    texts = own.join(picked, "doc_id", "left_semi").select("text")
+    texts = own.join(picked, F.col("doc_id").eqNullSafe(F.col("at")) & (F.col("t") == F.col("of_t")), "left_semi").select("text")
     got = texts.mapInArrow(run, "cls binary, n bigint, members array<bigint>").where(F.col("cls").isNotNull())
     return got.dropDuplicates(["cls"])
 
 
 def op6_neardup(spark, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents: four-word shingles, similarity 0.8 or more.
+
+    One row per row of `documents`; null and empty texts are groups of their own.  See
+    near_duplicates for null ids, repeated rows and long texts.
+    """
     return near_duplicates(table(spark, sf_dir, "documents"), settings=Settings(shingle=4))
