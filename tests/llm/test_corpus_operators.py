@@ -160,33 +160,47 @@ def test_patience_is_a_common_subsequence():
 
 
 def brute_removed(rows):
-    """Positions to delete per id, from the definition, with plain Python lines."""
+    """Positions to delete per id: lines of blocks that any earlier text holds, by comparing all pairs of texts."""
     by_text, order = {}, sorted((i, t) for i, t in rows if t is not None)
     for i, t in order:
         by_text.setdefault(t, i)
     lines = {t: [tuple(WORD.findall(x)) for x in t.split("\n")] for t in by_text}
-    holders = collections.defaultdict(list)
+    holders = collections.defaultdict(set)
     for t, ls in lines.items():
-        for x in {x for x in ls if len(x) >= linededup.LINE_WORDS}:
-            holders[x].append((by_text[t], t))
+        for x in ls:
+            holders[x].add(t)
     out = {}
     for i, t in order:
+        own = lines[t]
         if i != by_text[t]:
-            out[i] = list(range(len(lines[t]))) if len(WORD.findall(t)) >= linededup.BLOCK_WORDS else []
+            out[i] = list(range(len(own))) if len(WORD.findall(t)) >= linededup.BLOCK_WORDS else []
             continue
-        gone, sizes = set(), [len(x) for x in lines[t]]
-        owners = {min(holders[x])[1] for x in set(lines[t]) if 1 < len(holders[x]) <= linededup.RARE} - {t}
-        for o in owners:
-            gone.update(linededup.common_blocks(lines[o], lines[t], sizes))
-        for k, x in enumerate(lines[t]):
-            if len(x) >= linededup.BLOCK_WORDS and len(holders[x]) > linededup.RARE and min(holders[x])[1] != t:
+        gone = set()
+        for o in set().union(*(holders[x] for x in own if x)) - {t}:
+            if by_text[o] > i:
+                continue
+            before = {}
+            for p, x in enumerate(lines[o]):
+                now = {q: before.get(q - 1, 0) + 1 for q, y in enumerate(own) if x == y}
+                for q, n in now.items():
+                    if sum(map(len, own[q - n + 1 : q + 1])) >= linededup.BLOCK_WORDS:
+                        gone.update(k for k in range(q - n + 1, q + 1) if own[k])
+                before = now
+        blank = [k for k, x in enumerate(own) if not x]
+        for k in blank:
+            left = next((p for p in range(k, -1, -1) if own[p]), None)
+            right = next((p for p in range(k, len(own)) if own[p]), None)
+            if left in gone and right in gone:
                 gone.add(k)
         out[i] = sorted(gone)
     return out
 
 
-def test_removed_lines_are_brute_force(spark, docs, monkeypatch):
-    monkeypatch.setattr(linededup, "RARE", 4)
+def removed(spark, rows):
+    return {r["doc_id"]: r["removed_lines"] for r in linededup.dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+
+
+def test_removed_lines_are_brute_force(docs):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     want = brute_removed(rows)
     texts = dict(rows)
@@ -196,12 +210,30 @@ def test_removed_lines_are_brute_force(spark, docs, monkeypatch):
         assert r["text"] == "\n".join(kept)
 
 
-def test_a_frequent_block_of_short_lines_is_deleted(spark):
+def test_shuffled_blocks_are_brute_force(spark):
+    rng = random.Random(6)
+    pool = [" ".join(f"p{k}w{j}" for j in range(rng.choice([1, 3, 4, 9]))) for k in range(30)] + ["", " "]
+    rows = [(i, "\n".join(rng.choice(pool) if rng.random() < 0.8 else f"own {i} {k}" for k in range(rng.randrange(30)))) for i in range(60)]
+    rows += [(60 + i, "\n".join(pool[k % 30] for k in range(5 * i, 5 * i + 12))) for i in range(8)]
+    assert removed(spark, rows) == brute_removed(rows)
+
+
+def test_lines_that_repeat_within_a_document(spark):
+    r1, r2 = (f"{x} line of nine words that comes more often" for x in ("first", "second"))
+    rows = [(1, "\n".join(["a", r1, r2, r1, r2, "b"])), (2, "\n".join([r1, r2, r1, r2, "c"])), (3, "\n".join([r2, "d", r1]))]
+    assert removed(spark, rows) == {1: [], 2: [0, 1, 2, 3], 3: [0, 2]} == brute_removed(rows)
+
+
+def test_later_holders_of_a_block_that_two_others_hold_in_parts(spark):
+    rows = [(1, "a b c d e"), (2, "f g h i j"), (3, "a b c d e\nf g h i j"), (4, "a b c d e\nf g h i j")]
+    rows[3] = (4, "x\n" + rows[3][1])
+    assert removed(spark, rows) == {1: [], 2: [], 3: [], 4: [1, 2]}
+
+
+def test_a_block_of_short_lines_goes_however_many_hold_it(spark):
     passage = [f"word{k} of a licence in six" for k in range(9)]
-    n = linededup.RARE + 30
-    rows = [(i, "\n".join([f"own first {i}", *passage, f"own last {i}"])) for i in range(n)]
-    got = {r["doc_id"]: r["removed_lines"] for r in linededup.dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert got == {i: list(range(1, 10)) if i else [] for i in range(n)}
+    rows = [(i, "\n".join([f"own first {i}", *passage, f"own last {i}"])) for i in range(130)]
+    assert removed(spark, rows) == {i: list(range(1, 10)) if i else [] for i in range(130)}
 
 
 def test_the_first_holder_of_a_block_is_a_partner(spark):

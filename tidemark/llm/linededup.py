@@ -1,13 +1,12 @@
 """Line dedup across documents by pairwise alignment.
 
 Equal texts are one class, the copy with the least id being the first; later copies align
-with it as a whole.  Among the classes, the hash of a line, or of a run of lines that just
-reaches the words of a block, pairs each later holder with the first one, however many hold
-it, so there are never more than three pairs a line and the first holder of any part of a block
-that suffices by itself is a partner.  Each pair is aligned
-by patience diff and aligned common blocks of enough words are deleted from the later
-document.  A line that many documents hold is also a block of its own and is deleted
-wherever an earlier document holds it, in whatever order.
+with it as a whole.  Among the classes, the hash of a line that has the words of a block,
+or of a run of lines that just reaches them, pairs each later holder with the first one:
+never more than three pairs a line, however many hold it, and together these partners
+share every block that any earlier document does.  Each pair is aligned by patience diff,
+moved blocks by their first shared run, and common blocks of enough words are deleted from
+the later document.
 """
 
 from __future__ import annotations
@@ -22,10 +21,7 @@ from pyspark.sql import functions as F
 from .frames import materialise, release, table
 from .textflat import _powers, chunks, splitmix, words
 
-#: A line that more classes hold than this is frequent, so also a block of its own.
-RARE = 100
-#: Words that a line needs to be looked for, and that a common block needs to be deleted.
-LINE_WORDS = 5
+#: Words that a common block needs to be deleted.
 BLOCK_WORDS = 8
 
 
@@ -53,33 +49,36 @@ def line_hashes(texts: pa.Array):
         yield lo, per_row, hashes.view(np.int64), counts
 
 
-def run_hashes(hashes: np.ndarray, counts: np.ndarray, per_row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the runs of two lines or more that just reach BLOCK_WORDS, and their number in each row.
+def run_hashes(hashes: np.ndarray, counts: np.ndarray, per_row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first line, number of lines) of the runs of lines that just reach BLOCK_WORDS, in the order of first lines.
 
-    One such run at most begins, and one ends, at each line that has words.  So every line
-    of a common block of enough words is itself long enough or in a run within the block.
+    One such run at most begins, and one ends, at each line that has words; a line of
+    enough words is a run by itself.  So every line with words of a common block of enough
+    words is in a run within the block.
     """
     stop = np.cumsum(counts)
     ends = np.cumsum(per_row)
     row = np.repeat(np.arange(len(per_row)), per_row)
     last = np.searchsorted(stop, stop - counts + BLOCK_WORDS)
-    short = (counts > 0) & (counts < BLOCK_WORDS)
-    first = np.flatnonzero(short & (last < ends[row]))
+    begins = np.flatnonzero((counts > 0) & (last < ends[row]))
     back = np.searchsorted(stop - counts, stop - BLOCK_WORDS, side="right") - 1
-    final = np.flatnonzero(short & (back >= (ends - per_row)[row]))
-    size = np.concatenate((last[first] + 1 - first, final + 1 - back[final]))
-    first = np.concatenate((first, back[final]))
-    order = np.argsort(first, kind="stable")
-    first, size = first[order], size[order]
+    final = np.flatnonzero((counts > 0) & (back >= (ends - per_row)[row]))
+    first = np.concatenate((begins, back[final]))
+    size = np.concatenate((last[begins] + 1 - begins, final + 1 - back[final]))
+    both = np.unique(first << 32 | size)
+    first, size = both >> 32, both & 0xFFFFFFFF
     power, inverse = _powers(len(counts) + 1)
     sums = np.zeros(len(counts) + 1, dtype=np.uint64)
     np.cumsum(hashes.view(np.uint64) * power[: len(counts)], out=sums[1:])
     found = splitmix((sums[first + size] - sums[first]) * inverse[first] + size.astype(np.uint64))
-    return found.view(np.int64), np.bincount(row[first], minlength=len(per_row))
+    return found.view(np.int64), first, size
 
 
 def _anchors(a: list, b: list, a_lo: int, a_hi: int, b_lo: int, b_hi: int) -> list[tuple[int, int]]:
-    """Lines that occur once in either range, as the longest run that ascends in both."""
+    """Lines that occur once in either range, as the longest sequence that ascends in both.
+
+    Without such lines, the k-th occurrences of a line are paired instead.
+    """
     once: dict = {}
     for i in range(a_lo, a_hi):
         once[a[i]] = -1 if a[i] in once else i
@@ -87,6 +86,11 @@ def _anchors(a: list, b: list, a_lo: int, a_hi: int, b_lo: int, b_hi: int) -> li
     for j in range(b_lo, b_hi):
         there[b[j]] = -1 if b[j] in there else j
     pairs = [(i, there[x]) for x, i in once.items() if i >= 0 and there.get(x, -1) >= 0]
+    if not pairs:
+        places: dict = {}
+        for j in range(b_hi - 1, b_lo - 1, -1):
+            places.setdefault(b[j], []).append(j)
+        pairs = [(i, places[a[i]].pop()) for i in range(a_lo, a_hi) if places.get(a[i])]
     pairs.sort()
     tails: list[int] = []
     at: list[int] = []
@@ -131,25 +135,76 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def common_blocks(a: list, b: list, sizes: list, least: int = BLOCK_WORDS) -> list[int]:
-    """Lines of b in aligned common blocks of `least` words or more; sizes: words of b's lines."""
-    out: list[int] = []
+def common_blocks(a: list, b: list, sizes: list, a_runs: dict, b_runs: list[tuple[int, int, int]], least: int = BLOCK_WORDS) -> list[int]:
+    """Lines of b in aligned common blocks of `least` words or more; sizes: words of b's lines.
+
+    a_runs: first line by hash; b_runs: (hash, first line, lines).  A shared run that the
+    alignment leaves out, as it stands elsewhere in a, is an anchor of its own: the block
+    around it goes too.
+    """
+    gone: set[int] = set()
     run: list[int] = []
     before = None
     for i, j in [*patience(a, b), (-9, -9)]:
         if before is not None and (i, j) != (before[0] + 1, before[1] + 1):
             if sum(sizes[x] for x in run) >= least:
-                out += run
+                gone.update(run)
             run = []
         run.append(j)
         before = (i, j)
-    return out
+    for h, j, n in b_runs:
+        i = a_runs.get(h, -1)
+        if i < 0 or (j in gone and j + n - 1 in gone and all(x in gone for x in range(j, j + n))) or a[i : i + n] != b[j : j + n]:
+            continue
+        lo, hi = j, j + n
+        while lo and i + lo - j and a[i + lo - j - 1] == b[lo - 1]:
+            lo -= 1
+        while hi < len(b) and i + hi - j < len(a) and a[i + hi - j] == b[hi]:
+            hi += 1
+        gone.update(range(lo, hi))
+    return sorted(gone)
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(values of all lists, length of each)."""
+    return np.asarray(column.flatten()), np.diff(np.asarray(column.offsets))
 
 
 def _align(batches):
+    """(t, a, a_sizes, b, sizes) to (t, lines): what the alignment with a deletes from b."""
     for batch in batches:
-        found = [common_blocks(a, b, n) for a, b, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_pydict({"t": batch.column(0), "lines": pa.array(found, pa.list_(pa.int32()))})
+        held = []
+        for k in (1, 3):
+            (hashes, per_row), (counts, _) = _lists(batch.column(k)), _lists(batch.column(k + 1))
+            found, first, size = run_hashes(hashes, counts, per_row)
+            base = np.concatenate(([0], np.cumsum(per_row)))
+            cut = np.searchsorted(first, base)
+            row = np.repeat(np.arange(len(per_row)), np.diff(cut))
+            held.append((cut.tolist(), found.tolist(), (first - base[row]).tolist(), size.tolist()))
+        (ac, ah, af, _), (bc, bh, bf, bs) = held
+        lines = []
+        for k, (a, b, sizes) in enumerate(zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
+            x, y = slice(ac[k], ac[k + 1]), slice(bc[k], bc[k + 1])
+            lines.append(common_blocks(a, b, sizes, dict(zip(ah[x][::-1], af[x][::-1])), list(zip(bh[y], bf[y], bs[y]))))
+        yield pa.RecordBatch.from_pydict({"t": batch.column(0), "lines": pa.array(lines, pa.list_(pa.int32()))})
+
+
+def blanks_between(lines: list[int], sizes: list[int]) -> list[int]:
+    """Deleted lines with words, and the blank lines that only they surround."""
+    own = sorted({x for x in lines if sizes[x]})
+    out = []
+    for x, following in zip(own, [*own[1:], -1]):
+        out.append(x)
+        if following > x + 1 and not any(sizes[x + 1 : following]):
+            out += range(x + 1, following)
+    return out
+
+
+def _settle(batches):
+    """(t, id, lines or null, sizes) to (t, id, lines)."""
+    for batch in batches:
+        found = [blanks_between(lines or [], sizes) for lines, sizes in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_pydict({"t": batch.column(0), "id": batch.column(1), "lines": pa.array(found, pa.list_(pa.int32()))})
 
 
 def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -167,27 +222,24 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             for lo, per_row, hashes, counts in line_hashes(batch.column(2)):
                 ends = pa.array(np.concatenate(([0], np.cumsum(per_row))).astype(np.int32))
                 part = batch.slice(lo, len(per_row))
-                runs, n_runs = run_hashes(hashes, counts, per_row)
-                run_ends = pa.array(np.concatenate(([0], np.cumsum(n_runs))).astype(np.int32))
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "t": part.column(1), "runs": pa.ListArray.from_arrays(run_ends, pa.array(runs)), "hashes": pa.ListArray.from_arrays(ends, pa.array(hashes)), "sizes": pa.ListArray.from_arrays(ends, pa.array(counts.astype(np.int32)))})
+                found, first, _ = run_hashes(hashes, counts, per_row)
+                run_ends = pa.array(np.searchsorted(first, np.concatenate(([0], np.cumsum(per_row)))).astype(np.int32))
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "t": part.column(1), "runs": pa.ListArray.from_arrays(run_ends, pa.array(found)), "hashes": pa.ListArray.from_arrays(ends, pa.array(hashes)), "sizes": pa.ListArray.from_arrays(ends, pa.array(counts.astype(np.int32)))})
 
     rows = materialise(own.mapInArrow(run, f"doc_id {kind}, t binary, runs array<bigint>, hashes array<bigint>, sizes array<int>"), "lines")
     classes = materialise(rows.groupBy("t").agg(F.min("doc_id").alias("id"), F.min("runs").alias("runs"), F.min("hashes").alias("hashes"), F.min("sizes").alias("sizes")), "classes")
-    long = F.transform(F.filter(F.arrays_zip("hashes", "sizes"), lambda x: x["sizes"] >= LINE_WORDS), lambda x: x["hashes"])
-    line = classes.select("t", "id", F.explode(F.array_union(long, "runs")).alias("h"))  # distinct
-    held = line.groupBy("h").agg(F.count("*").alias("df"), F.min(F.struct("id", "t")).alias("first")).where("df > 1")
-    later = materialise(line.join(held, "h").where(F.col("t") != F.col("first.t")).select("t", "h", "df", F.col("first.t").alias("owner")), "held")
-    pairs = later.select("t", "owner").distinct()
-    a = classes.select(F.col("t").alias("owner"), F.col("hashes").alias("a"))
+    held = classes.select("t", "id", F.explode(F.array_distinct("runs")).alias("h"))
+    # written, so that the join with a hot line's holders can be split
+    shared = materialise(held.groupBy("h").agg(F.count("*").alias("df"), F.min(F.struct("id", "t")).alias("first")).where("df > 1").select("h", F.col("first.t").alias("owner")), "held")
+    pairs = held.join(shared, "h").where(F.col("t") != F.col("owner")).select("t", "owner").distinct()
+    a = classes.select(F.col("t").alias("owner"), F.col("hashes").alias("a"), F.col("sizes").alias("a_sizes"))
     b = classes.select("t", F.col("hashes").alias("b"), "sizes")
-    aligned = pairs.join(b, "t").join(a, "owner").select("t", "a", "b", "sizes").mapInArrow(_align, "t binary, lines array<int>")
-    often = later.where(F.col("df") > RARE).groupBy("t").agg(F.collect_set("h").alias("often"))  # of one text's lines
-    often = often.join(classes.select("t", "hashes", "sizes"), "t").select("t", F.transform(F.arrays_zip("hashes", "sizes"), lambda x, i: F.when(F.array_contains("often", x["hashes"]) & (x["sizes"] >= BLOCK_WORDS), i)).alias("lines"))
-    deleted = aligned.union(often.select("t", F.filter("lines", lambda i: i.isNotNull()).alias("lines")))
-    deleted = deleted.groupBy("t").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("lines"))
-    deleted = classes.select("t", "id").join(deleted, "t", "left").select("t", "id", F.coalesce("lines", F.array().cast("array<int>")).alias("lines"))
-    deleted = materialise(deleted, "deleted")  # so a join with a hot text's copies can be split
-    release(later, classes)
+    aligned = pairs.join(b, "t").join(a, "owner").select("t", "a", "a_sizes", "b", "sizes").mapInArrow(_align, "t binary, lines array<int>")
+    aligned = aligned.groupBy("t").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("lines"))
+    id_kind = classes.schema["id"].dataType.simpleString()
+    settled = classes.select("t", "id", "sizes").join(aligned, "t", "left").select("t", "id", "lines", "sizes").mapInArrow(_settle, f"t binary, id {id_kind}, lines array<int>")
+    deleted = materialise(settled, "deleted", batch_rows=500)  # so a join with a hot text's copies can be split
+    release(shared, classes)
     total = F.aggregate("sizes", F.lit(0), lambda a, x: a + x)
     return rows.select("doc_id", "t", F.size("hashes").alias("n_lines"), total.alias("n_words")), deleted
 
@@ -195,11 +247,14 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with deleted lines taken out of the text, and a column `removed_lines` of their positions.
 
-    Of several documents that share a block, the one with the least id keeps it; a null
-    id comes before all others.  A text that an earlier row holds in full loses all its
-    lines if it has BLOCK_WORDS words or more; rows equal in id and text stay as they
-    are.  Null texts stay null, empty ones empty.  Other columns are untouched, an
-    existing removed_lines is replaced.  An empty table gives no rows.
+    A line with words goes if it is in consecutive lines of BLOCK_WORDS words or more that
+    an earlier text holds too; blank lines go where all lines around them do.  Of several
+    documents that share a block, the one with the least id keeps it (a text that only
+    rows without an id have comes before all others; of equal ids the least digest).  A
+    text that an earlier row holds in full loses all its lines if it has BLOCK_WORDS words
+    or more; rows equal in id and text stay as they are.  Null texts stay null, empty ones
+    empty, and the longest text is aligned whole.  Other columns are untouched, an existing
+    removed_lines is replaced.  An empty table gives no rows.
     """
     _, deleted = repeated_lines(docs, id_col=id_col, text_col=text_col)
     names = [c for c in docs.columns if c != "removed_lines"]
@@ -211,11 +266,16 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     copy = ~F.col(f"row.{id_col}").eqNullSafe(F.col("id"))
     gone = F.when(text.isNull(), F.array().cast("array<int>")).when(copy & long, F.sequence(F.lit(0), F.size(lines) - 1)).otherwise(F.when(copy, F.array().cast("array<int>")).otherwise(F.col("lines")))
     own = own.withColumn("removed_lines", gone)
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("removed_lines"), i)), "\n")
+    left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed_lines")), lambda i: F.get(lines, i)), "\n")
     new = F.when(text.isNull() | (F.size("removed_lines") == 0), text).otherwise(left)
     return own.select(*[(new if c == text_col else F.col(f"row.{c}")).alias(c) for c in names], "removed_lines")
 
 
 def op7_linededup(spark, sf_dir: str) -> DataFrame:
+    """Lines deleted from each document, and the digest of what is left.
+
+    One row per row of `documents`; a null text loses nothing and counts as empty in the
+    digest.  See dedup_lines for ties, repeated rows and long texts.
+    """
     found = dedup_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.size("removed_lines").cast("bigint").alias("n_removed"), F.array_join(F.col("removed_lines").cast("array<string>"), ",").alias("removed_lines"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
