@@ -377,6 +377,13 @@ def test_near_dedup_tells_rows_of_one_id_apart(spark, sf_dir):
     assert sorted(map(tuple, got), key=str) == sorted([rows[0], rows[2], rows[3], rows[5]], key=str)
 
 
+def test_near_dedup_keeps_one_of_equal_rows(spark, sf_dir):
+    near, lone = " ".join(f"w{k}" for k in range(60)), "a text that nothing else is like at all"
+    rows = [(5, near), (5, near), (9, near + " more"), (9, lone), (9, lone), (None, "also twice in the table here"), (None, "also twice in the table here"), (4, ""), (4, "")]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), sf_dir).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(5, near), (9, lone), (None, "also twice in the table here"), (4, ""), (4, "")], key=str)
+
+
 def test_stages_keep_the_columns_and_take_odd_rows(spark, sf_dir):
     rows = [(1, None, "en", "s", 0), (2, "", None, None, None), (3, "123 456", "en", "s", 7), (4, "Der die das und der die Straße ist hier", None, "s", 1), (4, "Der die das und der die Straße ist hier", None, "s", 1), (None, "the of and to in is that for was a word", "en", "s", 2)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
