@@ -1,19 +1,23 @@
 """Personal data: base patterns and a skip-chain conditional random field.
 
 Base spans come from fixed patterns with checks.  The field labels every chunk of
-non-blank characters that holds a digit or '@'; other chunks are clamped to 'none'.  Its
-factors are a log-linear one on each chunk's shape, one on adjacent chunks, and one on
-chunks that repeat (equal text or equal last digits, wherever they are), so the label of
-one occurrence supports the others.  Loopy message passing gives the marginals; confident
-chunks that no base span touches become added spans.
-
-The weights are fitted piecewise on counts over the whole corpus, with the base spans as
-labels: the counts have a fixed number of cells.
+non-blank characters that holds a digit or '@'; chunks of base spans are clamped to their
+kind.  What the base checks (check digits, numbers of digits, complete addresses) is
+hidden from the field, so it learns what such data look like and where they stand, not
+the rule again.  Its factors are a log-linear one on each chunk's shape, one on the words
+before it, one on adjacent chunks, and one on chunks that repeat (equal text or equal last
+digits, wherever they are), so the label of one occurrence supports the others.  Loopy message passing gives the marginals; confident chunks that no
+base span touches become added spans.  Besides the base's kinds there is 'secret', seeded
+by long runs of mixed letters and digits.
+
+The weights are fitted piecewise on counts over the whole corpus, with the base spans and
+the seeds as labels: the counts have a fixed number of cells.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,8 +28,10 @@ from pyspark.sql import functions as F
 from .frames import keyed, table
 
 KINDS = ["email", "ip", "card", "phone"]
-LABELS = ["none", *KINDS]
-NONE, EMAIL, IP, CARD, PHONE = range(5)
+#: Kinds of added spans, in the order of spans that begin together.
+ALL_KINDS = [*KINDS, "secret"]
+LABELS = ["none", *ALL_KINDS]
+NONE, EMAIL, IP, CARD, PHONE, SECRET = range(6)
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -81,23 +87,27 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+#: What surrounds a chunk's own text.
+_SIGNS = "\"'[]{}<>.,;:!?#*$%&|="
 #: Shape features of a chunk, each with so many values; the shape is their mixed-radix number.
-RADIX = [2, 8, 4, 2, 2, 2, 2, 2, 2]
+RADIX = [2, 7, 4, 2, 2, 2, 2, 4, 2]
+#: Hash cells of the words before a chunk.
+CONTEXTS = 1024
 
 
 def _shape(chunk: str) -> int:
-    digits = _NO_DIGIT.sub("", chunk)
-    n = len(digits)
+    core = chunk.strip(_SIGNS)
+    n = len(_NO_DIGIT.sub("", core))
     values = [
-        "@" in chunk[1:-1],
-        0 if not n else 1 if n < 3 else 2 if n < 7 else 3 if n < 10 else 4 if n < 14 else 5 if n < 20 else 6 if n < 32 else 7,
-        min(3, chunk.strip(".").count(".")),
-        chunk.startswith("+"),
-        "(" in chunk or ")" in chunk,
-        "-" in chunk.strip("-"),
-        any(c.isalpha() for c in chunk),
-        14 <= n <= 19 and luhn(digits),
-        "@" in chunk and "." in chunk[chunk.find("@") :].strip("."),
+        "@" in core[1:-1],
+        0 if not n else 1 if n < 3 else 2 if n < 7 else 3 if n < 10 else 4 if n < 14 else 5 if n < 20 else 6,
+        min(3, core.count(".")),
+        core.startswith("+"),
+        "(" in core or ")" in core,
+        "-" in core.strip("-"),
+        any(c.isalpha() for c in core),
+        0 if len(core) < 8 else 1 if len(core) < 20 else 2 if len(core) < 32 else 3,
+        core.isascii() and core.isalnum(),
     ]
     code = 0
     for v, radix in zip(values, RADIX, strict=True):
@@ -108,6 +118,17 @@ def _shape(chunk: str) -> int:
 SHAPES = int(np.prod(RADIX))
 
 
+def seed(chunk: str) -> bool:
+    """A label for training: a long run of letters and digits of many kinds, as keys and tokens are."""
+    core = chunk.strip(_SIGNS)
+    return len(core) >= 20 and core.isascii() and core.replace("_", "").replace("-", "").isalnum() and any(c.isalpha() for c in core) and sum(c.isdigit() for c in core) >= 4 and len(set(core.lower())) >= 9
+
+
+def _context(before: str, last: str) -> int:
+    """Cell of the two words before a chunk."""
+    return zlib.crc32(f"{before.strip(_SIGNS).lower()} {last.lower()}".encode("utf-8", "surrogatepass")) % CONTEXTS
+
+
 def _design() -> np.ndarray:
     """One row per shape: indicators of each feature's values, a constant, and of pairs of small features."""
     codes, rest = [], np.arange(SHAPES)
@@ -118,7 +139,8 @@ def _design() -> np.ndarray:
     cols = [np.ones(SHAPES)]
     for c, radix in zip(codes, RADIX, strict=True):
         cols += [(c == v).astype(float) for v in range(radix)]
-    cols += [((codes[1] == n) & (codes[k] == 1)).astype(float) for n in range(8) for k in (4, 5, 6, 7)]
+    cols += [((codes[1] == n) & (codes[k] == 1)).astype(float) for n in range(7) for k in (4, 5, 6, 8)]
+    cols += [((codes[7] == n) & (codes[8] == 1) & (codes[6] == a)).astype(float) for n in range(4) for a in range(2)]
     return np.stack(cols, axis=1)
 
 
@@ -130,60 +152,69 @@ class Graph:
     start: np.ndarray
     end: np.ndarray
     shape: np.ndarray
+    context: np.ndarray  # cell of the words before
     chain: np.ndarray  # nodes k with k+1 adjacent in the text
-    alone: np.ndarray  # per node, how many of its neighbours in the text are clamped
     skip: np.ndarray  # (2, n): consecutive occurrences of one key
-    label: np.ndarray  # from the base spans
+    label: np.ndarray  # from the base spans; these nodes are clamped
+    seeded: np.ndarray  # the label that training takes
+
+    def __len__(self) -> int:
+        return len(self.shape)
 
 
 def graph(texts: list[str], spans: list[list[tuple[int, int, int]]]) -> Graph:
     rows: list[tuple] = []
-    chain, alone, skips = [], [], []
+    chain, skips = [], []
     for t, text in enumerate(texts):
         if not _ANY.search(text):
             continue
         before, keys, own = -2, {}, spans[t]
         s = 0
-        k = -1
+        two, one = "", ""
         for k, m in enumerate(_CHUNK.finditer(text)):
             chunk = m[0]
             if not _ANY.search(chunk):
+                two, one = one, chunk
                 continue
             node = len(rows)
             while s < len(own) and own[s][2] <= m.start():
                 s += 1
             label = next((x[1] + 1 for x in own[s:] if x[0] < m.end() and x[2] > m.start()), NONE) if s < len(own) and own[s][0] < m.end() else NONE
-            rows.append((t, m.start(), m.end(), _shape(chunk), label))
+            rows.append((t, m.start(), m.end(), _shape(chunk), _context(two, one), label, SECRET if label == NONE and seed(chunk) else label))
+            two, one = one, chunk
             if before == k - 1 and k:
                 chain.append(node - 1)
-                alone[-1] -= 1
-                alone.append(1)
-            else:
-                alone.append(2)
             before = k
             digits = _NO_DIGIT.sub("", chunk)
-            core = chunk.strip("\"'()[]{}<>.,;:!?#*$%&|").lower()
+            core = chunk.strip(_SIGNS + "()").lower()
             for key in {("text", core)} | ({("tail", digits[-TAIL:])} if len(digits) >= TAIL and "@" not in chunk else set()):
                 if key in keys:
                     skips.append((keys[key], node))
                 keys[key] = node
-        del k
-    cols = np.array(rows, dtype=np.int64).reshape(-1, 5).T
+    cols = np.array(rows, dtype=np.int64).reshape(-1, 7).T
     skip = np.array(sorted(set(skips)), dtype=np.int64).reshape(-1, 2).T
-    return Graph(cols[0], cols[1], cols[2], cols[3], np.array(chain, dtype=np.int64), np.array(alone, dtype=np.int64), skip, cols[4])
+    return Graph(*cols[:5], np.array(chain, dtype=np.int64), skip, *cols[5:])
+
+
+#: What a clamped node's other labels lose.
+CLAMP = 1e3
 
 
 @dataclass
 class Field:
     unary: np.ndarray  # (SHAPES, labels)
+    context: np.ndarray  # (CONTEXTS, labels)
     chain: np.ndarray  # (labels, labels)
     skip: np.ndarray
 
     def marginals(self, g: Graph) -> np.ndarray:
-        n = len(g.shape)
-        if not n:
-            return np.zeros((0, len(LABELS)))
-        unary = self.unary[g.shape] + g.alone[:, None] * self.chain[NONE][None, :]
+        n = len(LABELS)
+        if not len(g):
+            return np.zeros((0, n))
+        unary = self.unary[g.shape] + self.context[g.context]
+        held = np.flatnonzero(g.label != NONE)
+        unary[held] = -CLAMP
+        unary[held, g.label[held]] = 0
         u = np.concatenate((g.chain, g.skip[0]))
         v = np.concatenate((g.chain + 1, g.skip[1]))
         kind = np.concatenate((np.zeros(len(g.chain), int), np.ones(len(g.skip[0]), int)))
@@ -191,7 +222,7 @@ class Field:
         source, target = np.concatenate((u, v)), np.concatenate((v, u))
         pair = np.concatenate((pair, pair.transpose(0, 2, 1)))
         reverse = np.concatenate((np.arange(len(u)) + len(u), np.arange(len(u))))
-        message = np.zeros((len(source), len(LABELS)))
+        message = np.zeros((len(source), n))
         for _ in range(ROUNDS if len(source) else 0):
             belief = unary.copy()
             np.add.at(belief, target, message)
@@ -202,8 +233,7 @@ class Field:
             message = DAMPING * message + (1 - DAMPING) * new
         belief = unary.copy()
         np.add.at(belief, target, message)
-        p = np.exp(belief - belief.max(axis=1, keepdims=True))
-        return p / p.sum(axis=1, keepdims=True)
+        return _softmax(belief)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -211,8 +241,12 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return p / p.sum(axis=1, keepdims=True)
 
 
-def fit(shapes: np.ndarray, chain: np.ndarray, skip: np.ndarray, steps: int = 400) -> Field:
-    """Piecewise training on counts: shapes (SHAPES, labels), pairs of labels of chain and skip edges."""
+def fit(shapes: np.ndarray, contexts: np.ndarray, chain: np.ndarray, skip: np.ndarray, steps: int = 400) -> Field:
+    """Piecewise training on counts: (SHAPES, labels), (CONTEXTS, labels), pairs of labels of chain and skip edges.
+
+    A chunk without a base label may still be personal data, so an edge from a labelled
+    chunk to one without says nothing about skip edges and is left out.
+    """
     x = _design()
     seen = shapes.sum(axis=1) > 0
     n = max(1.0, shapes.sum())
@@ -226,76 +260,83 @@ def fit(shapes: np.ndarray, chain: np.ndarray, skip: np.ndarray, steps: int = 40
         weight += 0.3 * (moment / (1 - 0.9**k)) / (np.sqrt(square / (1 - 0.99**k)) + 1e-8)
 
     def association(counts: np.ndarray) -> np.ndarray:
-        p = counts + counts.T + 1.0
+        p = counts + 1.0
         p /= p.sum()
         return np.clip(np.log(p / (p.sum(axis=1, keepdims=True) * p.sum(axis=0, keepdims=True))), -2.0, 2.0)
 
-    return Field(np.log(_softmax(x @ weight) + 1e-9), association(chain), association(skip))
+    same = skip.copy()
+    same[NONE, 1:] = same[1:, NONE] = 0
+    # a cell's few observations are drawn towards the labels' overall shares
+    share = contexts.sum(axis=0) + 1.0
+    share /= share.sum()
+    near = (contexts + 4 * share) / (contexts.sum(axis=1, keepdims=True) + 4)
+    return Field(np.log(_softmax(x @ weight) + 1e-9), np.clip(np.log(near / share), -2.0, 2.0), association(chain + chain.T), association(same + same.T))
 
 
 def train(docs: DataFrame, *, text_col: str = "text") -> Field:
     """Fit on all texts.  What reaches the driver are sums of a fixed number of cells."""
     n = len(LABELS)
-    cells = SHAPES * n + 2 * n * n
+    ends = np.cumsum([0, SHAPES * n, CONTEXTS * n, n * n, n * n]).tolist()
     own = docs.select(F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
 
     def count(batches):
-        total = np.zeros(cells, dtype=np.int64)
+        total = np.zeros(ends[-1], dtype=np.int64)
         for batch in batches:
             texts = batch.column(0).to_pylist()
             g = graph(texts, [base_spans(t) for t in texts])
-            total += np.bincount(g.shape * n + g.label, minlength=cells)
-            at = SHAPES * n
-            total += np.bincount(at + g.label[g.chain] * n + g.label[g.chain + 1], minlength=cells)
-            total += np.bincount(at + n * n + g.label[g.skip[0]] * n + g.label[g.skip[1]], minlength=cells)
+            y = g.seeded
+            for at, cell in zip(ends, (g.shape * n + y, g.context * n + y, y[g.chain] * n + y[g.chain + 1], y[g.skip[0]] * n + y[g.skip[1]])):
+                total += np.bincount(at + cell, minlength=ends[-1])
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"at": pa.array(at, pa.int32()), "n": pa.array(total[at], pa.int64())})
 
     got = own.mapInArrow(count, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).collect()
-    total = np.zeros(cells)
+    total = np.zeros(ends[-1])
     for r in got:
         total[r["at"]] = r["n"]
-    a = SHAPES * n
-    return fit(total[:a].reshape(SHAPES, n), total[a : a + n * n].reshape(n, n), total[a + n * n :].reshape(n, n))
+    return fit(*(total[a:b].reshape(-1, n) for a, b in zip(ends, ends[1:])))
 
 
 def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], field: Field) -> list[list[tuple[int, int, int]]]:
-    """Spans of confident chunks that no base span touches; adjacent ones of a kind are one."""
+    """Spans of confident chunks that no base span touches; adjacent ones of a card or phone are one."""
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     g = graph(texts, base)
     p = field.marginals(g)
     if not len(p):
         return out
     best = p.argmax(axis=1)
-    linked = set(g.chain.tolist())
-    for k in np.flatnonzero((best != NONE) & (p[np.arange(len(p)), best] >= CONFIDENT) & (g.label == NONE)):
+    linked, joined = set(g.chain.tolist()), -2
+    for k in np.flatnonzero((best != NONE) & (p[np.arange(len(p)), best] >= CONFIDENT) & (g.label == NONE)).tolist():
         t, kind = g.text[k], int(best[k]) - 1
         start, end = int(g.start[k]), int(g.end[k])
         core = texts[t][start:end]
-        left = core.lstrip("\"'[]{}<>.,;:!?#*$%&|" + ("" if kind == PHONE - 1 else "()"))
-        start, core = end - len(left), left.rstrip("\"'()[]{}<>.,;:!?#*$%&|")
+        left = core.lstrip(_SIGNS + ("" if kind == PHONE - 1 else "()"))
+        start, core = end - len(left), left.rstrip(_SIGNS + "()")
         end = start + len(core)
         if start >= end:
             continue
         own = out[t]
-        if own and own[-1][1] == kind and k - 1 in linked and own[-1][2] >= g.start[k - 1] and best[k - 1] == best[k]:
+        if own and joined == k - 1 and k - 1 in linked and best[k - 1] == best[k] and best[k] in (CARD, PHONE):
             own[-1] = (own[-1][0], kind, end)
         else:
             own.append((start, kind, end))
+        joined = k
     return out
 
 
 def find_personal_data(docs: DataFrame, field: Field, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, base and added: arrays of (kind, start, end) in code points, a row per row of docs.
 
-    Null and empty texts have no spans.  Spans of different kinds may overlap, as the
-    patterns do; an added span overlaps no base span.  Repeated rows each get a row.
+    Null and empty texts have no spans; a text of any length is searched whole.  Spans of
+    different kinds may overlap, as the patterns do; an added span overlaps no base span.
+    Of equally probable labels the first counts.  Null and repeated ids are as good as any:
+    each row gets a row.  An empty table gives none.
     """
     own = keyed(docs, id_col, text_col)
     kind = own.schema["doc_id"].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(field)
     spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-    rows = lambda xs: [{"kind": KINDS[k], "start": a, "end": b} for a, k, b in xs]
+    rows = lambda xs: [{"kind": ALL_KINDS[k], "start": a, "end": b} for a, k, b in xs]
 
     def run(batches):
         for batch in batches:
@@ -309,15 +350,23 @@ def find_personal_data(docs: DataFrame, field: Field, *, id_col: str = "doc_id",
 
 
 def op8_pii(spark, sf_dir: str) -> DataFrame:
+    """Personal data of all documents: base counts and digest, and all spans.
+
+    One row per row of `documents`; a null text is empty.  n_spans counts all spans,
+    n_added those of the field, n_secret its keys and tokens.
+    """
     docs = table(spark, sf_dir, "documents")
     found = find_personal_data(docs, train(docs))
-    rank = lambda x: F.array_position(F.array(*[F.lit(k) for k in KINDS]), x["kind"])
+    rank = lambda x: F.array_position(F.array(*[F.lit(k) for k in ALL_KINDS]), x["kind"])
     ordered = lambda xs: F.array_sort(F.transform(xs, lambda x: F.struct(x["start"].alias("start"), rank(x).alias("rank"), x["end"].alias("end"), x["kind"].alias("kind"))))
     joined = lambda xs: F.array_join(F.transform(ordered(xs), lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
-    of = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("bigint")
+    of = lambda spans, kind: F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("bigint")
     return found.select(
         "doc_id",
-        *[of(k).alias(f"n_{k}") for k in KINDS],
+        *[of("base", k).alias(f"n_{k}") for k in KINDS],
         F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         joined(F.concat("base", "added")).alias("spans"),
+        (F.size("base") + F.size("added")).cast("bigint").alias("n_spans"),
+        F.size("added").cast("bigint").alias("n_added"),
+        of("added", "secret").alias("n_secret"),
     )
