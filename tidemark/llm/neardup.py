@@ -36,14 +36,14 @@ class Settings:
     #: Similarity as a fraction: numerator, denominator.
     above: int = 80
     of: int = 100
-    #: Retained values; those that the first inverted lists hold.
-    sketch: int = 128
+    #: Retained values; those that the first inverted lists hold; those that blocks of a
+    #: long list are compared by.
+    sketch: int = 1024
     index: int = 32
+    brief: int = 128
     #: Share of indexed values that a linked partner has at least (the chance of less, at
     #: similarity 0.8 and 32 values, is below 1e-6); for smaller sets it is exact.
     least: float = 0.4
-    #: Estimates this much below the similarity are dropped (five standard deviations).
-    slack: float = 0.18
     #: Members up to which a list gives all its pairs; members of one block of a longer one.
     short: int = 8
     block: int = 512
@@ -54,14 +54,22 @@ class Settings:
     def similarity(self) -> float:
         return self.above / self.of
 
+    def lowest(self, k: int) -> float:
+        """Estimates from k retained values below this are dropped: five standard deviations under the similarity."""
+        t = self.similarity
+        return t - 5 * (t * (1 - t) / k) ** 0.5
+
     def needed(self, n: np.ndarray) -> np.ndarray:
         """Retained values that a set of n shares with a linked partner, at least.
 
         Exact where a partner retains its whole set too, else what the estimate demands.
         """
-        t = self.similarity
-        exact = np.ceil(t * n - 1e-9)
-        return np.where(n <= t * self.sketch, exact, np.floor((t - self.slack) * np.minimum(n, self.sketch))).astype(np.int64)
+        exact = np.ceil(self.similarity * n - 1e-9)
+        return np.where(self.whole(n), exact, np.floor(self.lowest(self.sketch) * np.minimum(n, self.sketch))).astype(np.int64)
+
+    def whole(self, n: np.ndarray) -> np.ndarray:
+        """Sets of n and all their possible partners are retained whole."""
+        return n <= self.similarity * self.sketch
 
 
 def _sets(texts: pa.Array, n: int):
@@ -147,8 +155,9 @@ def _rarity(sets: DataFrame, s: Settings) -> np.ndarray:
 
 
 def _entries(sets: DataFrame, s: Settings) -> DataFrame:
-    """v, cls, n: the inverted lists of the rarest retained values of each set."""
+    """v, cls, n, cap: the inverted lists of the rarest retained values of each set; a partner has `cap` values at most."""
     rarity = sets.sparkSession.sparkContext.broadcast(_rarity(sets, s))
+    t = s.similarity
 
     def run(batches):
         counts = rarity.value
@@ -158,15 +167,23 @@ def _entries(sets: DataFrame, s: Settings) -> DataFrame:
             rare = counts[value % np.uint64(s.cells)]
             order = np.lexsort((value, rare, row))
             place = np.arange(len(value)) - np.repeat(np.cumsum(held) - held, held)
+            n = sizes[row]
             at = np.flatnonzero((place <= (held - s.needed(sizes))[row]) & (rare[order] > 1))
-            yield pa.RecordBatch.from_pydict({"v": pa.array(value[order][at].view(np.int64)), "cls": batch.column(0).take(pa.array(row[at])), "n": pa.array(sizes[row[at]], pa.int64())})
+            # if a whole set's first shared value is at `place`, n - place bounds the overlap
+            most = np.where(s.whole(n), (n - place) * (1 + t) / t - n, n / t)
+            cap = np.floor(most + 1e-9).astype(np.int64)
+            yield pa.RecordBatch.from_pydict({"v": pa.array(value[order][at].view(np.int64)), "cls": batch.column(0).take(pa.array(row[at])), "n": pa.array(n[at], pa.int64()), "cap": pa.array(cap[at], pa.int64())})
 
-    return materialise(sets.select("cls", "n", "members").mapInArrow(run, "v bigint, cls binary, n bigint"), "lists")
+    found = materialise(sets.select("cls", "n", "members").mapInArrow(run, "v bigint, cls binary, n bigint, cap bigint"), "rarest")
+    # what no other member of the list can be small enough for leaves it
+    sized = materialise(found.groupBy("v").agg(F.min("n").alias("least"), F.count("*").alias("c")).where("c > 1"), "sizes")
+    fit = materialise(found.join(sized.select("v", "least"), "v").where("cap >= least").drop("least"), "lists")
+    release(found, sized)
+    return fit
 
 
-def _fits(a: str, b: str, s: Settings) -> Column:
-    """Sets of these sizes can be as similar as asked."""
-    return (s.above * F.col(a) <= s.of * F.col(b)) & (s.above * F.col(b) <= s.of * F.col(a))
+def _fits(a: str, b: str) -> Column:
+    return (F.col(f"{a}.n") <= F.col(f"{b}.cap")) & (F.col(f"{b}.n") <= F.col(f"{a}.cap"))
 
 
 def union_similarity(x: np.ndarray, y: np.ndarray, k: int) -> float:
@@ -184,7 +201,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     """The pairs (a, b) whose sets are similar: estimate on the union's sketch, then exactly."""
     a = sets.select(F.col("cls").alias("a"), F.col("members").alias("x"))
     b = sets.select(F.col("cls").alias("b"), F.col("members").alias("y"))
-    low = s.similarity - s.slack
+    low = s.lowest(s.sketch)
 
     def run(batches):
         for batch in batches:
@@ -236,15 +253,15 @@ def block_estimates(left: list[np.ndarray], right: list[np.ndarray], n_left: np.
 
 def _block_pairs(long: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     """Pairs of members of long lists, in different components, that the sketches do not rule out."""
-    k, low = s.sketch, s.similarity - s.slack
+    k, low = s.brief, s.lowest(s.brief)
     own = long.join(sets.select("cls", F.slice("members", 1, k).alias("sketch")), "cls")
     blocks = F.ceil(F.col("c") / s.block)
     own = own.withColumn("mine", F.pmod(F.xxhash64("cls"), blocks))
     own = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
-    own = own.select("v", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "cls", "n", "component", "sketch")
+    own = own.select("v", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "cls", "n", "cap", "component", "sketch")
 
     def run(group: pa.Table) -> pa.Table:
-        sizes = np.asarray(group["n"])
+        sizes, caps = np.asarray(group["n"]), np.asarray(group["cap"])
         cls = np.array(group["cls"].to_pylist(), dtype=object)
         _, label = np.unique(np.array(group["component"].to_pylist(), dtype=object), return_inverse=True)
         block, i, j = np.asarray(group["mine"]), group["i"][0].as_py(), group["j"][0].as_py()
@@ -255,7 +272,7 @@ def _block_pairs(long: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
         near = block_estimates([sketch[x] for x in left], [sketch[y] for y in right], sizes[left], sizes[right], k) >= low
         near &= label[left][:, None] != label[right][None, :]
         x, y = (side[at] for side, at in zip((left, right), np.nonzero(near), strict=True))
-        fit = (s.above * sizes[x] <= s.of * sizes[y]) & (s.above * sizes[y] <= s.of * sizes[x]) & ((i != j) | (x < y))
+        fit = (sizes[x] <= caps[y]) & (sizes[y] <= caps[x]) & ((i != j) | (x < y))
         both = [(min(p, q), max(p, q)) for p, q in zip(cls[x[fit]], cls[y[fit]], strict=True)]
         return pa.table({"a": pa.array([p for p, _ in both], pa.binary()), "b": pa.array([q for _, q in both], pa.binary())})
 
@@ -265,16 +282,16 @@ def _block_pairs(long: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
 def _links(sets: DataFrame, s: Settings) -> list[DataFrame]:
     """Tables of confirmed links (a, b) whose components are those of all links between the sets."""
     entries = _entries(sets, s)
-    sized = entries.groupBy("v").agg(F.count("*").alias("c"), F.min(F.struct("cls", "n")).alias("first")).where("c > 1")
+    sized = entries.groupBy("v").agg(F.count("*").alias("c"), F.min(F.struct(-F.col("cap"), "n", "cls")).alias("first")).where("c > 1")
     sized = materialise(sized, "sizes")
     lists = entries.join(sized.select("v", "c"), "v")
-    few = lists.where(F.col("c") <= s.short).select("v", F.struct("cls", "n").alias("x"))
+    few = lists.where(F.col("c") <= s.short).select("v", F.struct("cls", "n", "cap").alias("x"))
     held = few.groupBy("v").agg(F.array_sort(F.collect_list("x")).alias("held"))  # of s.short at most
     pair = held.select(F.posexplode("held").alias("i", "x"), "held").select("x", F.explode(F.slice("held", F.col("i") + 2, s.short)).alias("y"))
-    pair = pair.where(_fits("x.n", "y.n", s)).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
+    pair = pair.where(_fits("x", "y")).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
     long = lists.where(F.col("c") > s.short)
-    pivot = sized.where(F.col("c") > s.short).select("v", F.col("first.cls").alias("p"), F.col("first.n").alias("pn"))
-    star = long.join(pivot, "v").where((F.col("cls") != F.col("p")) & _fits("n", "pn", s))
+    pivot = sized.where(F.col("c") > s.short).select("v", F.col("first.cls").alias("p"), F.col("first.n").alias("pn"), (-F.col("first.col1")).alias("pc"))
+    star = long.join(pivot, "v").where((F.col("cls") != F.col("p")) & (F.col("n") <= F.col("pc")) & (F.col("pn") <= F.col("cap")))
     star = star.select(F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b"))
     links = materialise(_confirm(pair.union(star).distinct(), sets, s), "links", batch_rows=200)
     if long.isEmpty():
