@@ -3,14 +3,17 @@
 The symbols of many distinct pre-tokens lie in one flat array.  A round looks up the rank
 of every adjacent pair by binary search over the sorted pair keys, takes each word's
 lowest rank and merges that pair wherever it occurs in the word; words without a
-mergeable pair leave the array.  A pre-token's result is kept while its worker lives, in
-a table of bounded size, so a frequent word is merged once.
+mergeable pair leave the array.  A round costs as much as the array is long, so a pre-token
+of very many symbols is merged by itself, its pairs in a heap by rank and place.  A
+pre-token's result is kept while its worker lives, in a table of bounded size, so a
+frequent word is merged once.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+from heapq import heapify, heappop, heappush
 import unicodedata
 
 import numpy as np
@@ -20,8 +23,8 @@ from pyspark.sql import DataFrame
 
 from .frames import keyed, table
 
-#: Pre-tokens whose results a worker keeps.
-KEPT = 100_000
+#: Pre-tokens whose results a worker keeps, and symbols of those that aren't kept and have a heap.
+KEPT, LONG = 100_000, 512
 #: Characters of one batch of distinct pre-tokens that is merged at once.
 BATCH_CHARS = 1 << 20
 
@@ -60,6 +63,7 @@ class Bpe:
         made = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made
+        self.pairs: dict[int, tuple[int, int]] = {}  # of merge_long, made when it is first needed
         self.kept: dict[str, tuple[str, int, str]] = {}
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.split = regex.compile(pattern).findall
@@ -111,6 +115,33 @@ class Bpe:
         order = np.argsort(word, kind="stable")
         return symbol[order], np.bincount(word, minlength=len(words))
 
+    def merge_long(self, word: str) -> list[int]:
+        """Ids of one word; of equal pairs the first is merged first."""
+        if not self.pairs:
+            self.pairs = dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.made[self.ranks].tolist(), strict=True), strict=True))
+        data = np.frombuffer(word.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+        symbol = [*self.inner[data[:-1]].tolist(), int(self.final[data[-1]])]
+        n, find = len(symbol), self.pairs.get
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(found[0], k) for k in range(n - 1) if (found := find(symbol[k] << 32 | symbol[k + 1]))]
+        heapify(heap)
+        while heap:
+            rank, k = heappop(heap)
+            right = after[k]
+            if symbol[k] < 0 or right >= n:
+                continue
+            found = find(symbol[k] << 32 | symbol[right])
+            if not found or found[0] != rank:
+                continue  # one of the two has been merged since
+            symbol[k], symbol[right] = found[1], -1
+            after[k] = following = after[right]
+            if following < n:
+                before[following] = k
+            for a, b in ((before[k], k), (k, following)):
+                if a >= 0 and b < n and (found := find(symbol[a] << 32 | symbol[b])):
+                    heappush(heap, (found[0], a))
+        return [x for x in symbol if x >= 0]
+
     def _learn(self, words: list[str]) -> None:
         """Put the results of distinct words into `kept`."""
         text_of, at = self.text_of, 0
@@ -150,9 +181,16 @@ class Bpe:
         for word in [w for w in fresh if w[0] == " "]:
             self.kept[word] = (str(i := self.special[word[1:]]), 1, self.decode([i]))
             fresh.discard(word)
-        self._learn(list(fresh))
+        long = {w for w in fresh if len(w) > LONG}
+        for word in long:
+            own = self.merge_long(word)
+            self.kept[word] = (" ".join(map(str, own)), len(own), self.decode(own))
+        self._learn(list(fresh - long))
         kept = self.kept
-        return [[kept[w] for w in one] for one in split]
+        out = [[kept[w] for w in one] for one in split]
+        for word in long:
+            del kept[word]
+        return out
 
     def encode(self, text: str | None) -> list[int]:
         return [int(i) for part in self.encode_batch([text])[0] for i in part[0].split()]
@@ -188,7 +226,8 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", v
 
     With `digests`, ids_sha256 and decoded_sha256 replace ids and decoded, so that long
     texts aren't sent back.  A null or empty text has no tokens and decodes to the empty
-    string.  Very long texts are batches of their own; repeated rows each get a row.
+    string.  Very long texts are batches of their own; null and repeated ids are as good
+    as any: each row gets a row.  An empty table gives none.
     """
     own = keyed(docs, id_col, text_col)
     kind = own.schema["doc_id"].dataType.simpleString()
@@ -230,4 +269,5 @@ def decode(tokens: DataFrame, *, id_col: str = "doc_id", ids_col: str = "ids", v
 
 
 def op1_bpe(spark, sf_dir: str) -> DataFrame:
+    """Tokens of all documents and digests of ids and decoded text; null texts are empty.  See encode."""
     return encode(table(spark, sf_dir, "documents"), digests=True)
