@@ -165,7 +165,9 @@ def score_quality(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id
     """doc_id, score, predicted for each row of docs.
 
     score is in [0, 1]; null and empty texts, and all texts under an empty model, have 0.
-    Repeated rows each get a row; an empty table gives none.
+    A text of any length counts whole.  Of neighbours that are equally near at the last
+    place some vote and some do not.  Null and repeated ids are as good as any: each row
+    gets a row; an empty table gives none.
     """
     own = keyed(docs, id_col, text_col)
     kind = own.schema["doc_id"].dataType.simpleString()
@@ -181,6 +183,10 @@ def score_quality(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id
 
 
 def op5_knn_quality(spark, sf_dir: str) -> DataFrame:
+    """Quality of all documents, learned from labelled rows whose crc32(doc_id) mod 3 is not 1.
+
+    One row per row of `documents`; null and empty texts have score 0.  See score_quality.
+    """
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held = held_out(F.col("doc_id"), 3)
     model = train(docs, labels.where(~held), document_frequencies(docs))

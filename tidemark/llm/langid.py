@@ -28,8 +28,8 @@ SWITCH = 6.0
 SMOOTHING = 0.5
 #: Characters scored at once, and of the documents labelled at once.
 SCORE_CHARS, LABEL_CHARS = 1 << 20, 12 << 20
-#: Most languages: CELLS * LANGUAGES * 4 bytes bounds what is broadcast (64 MB).
-LANGUAGES = 256
+#: Bytes of the model that is broadcast, at most; more languages need fewer cells.
+MODEL_BYTES = 1 << 29
 
 #: First code point, last code point, script; other letters are script 0.  Fixed values of the Unicode blocks.
 SCRIPTS = [
@@ -113,41 +113,41 @@ def _groups(texts: list[str], size: int):
 
 
 def count_trigrams(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """kind ('cell' or 'script'), lang, at, n: counts over all rows with a language."""
+    """lang, at, n: cells and (from CELLS on) scripts counted over all rows with a language."""
     own = keyed(docs, id_col, text_col, F.col(lang_col).cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
 
     def run(batches):
-        cells: dict[str, np.ndarray] = {}
-        scripts: dict[str, np.ndarray] = {}
+        counts: dict[str, np.ndarray] = {}
         for batch in batches:
             texts = batch.column(0).to_pylist()
             langs = np.array(batch.column(1).to_pylist(), dtype=object)
             for lang in set(langs):
                 mine = [texts[i] for i in np.flatnonzero(langs == lang)]
+                total = counts.setdefault(lang, np.zeros(CELLS + len(_NAMES), dtype=np.int64))
                 for lo, hi in _groups(mine, SCORE_CHARS):
                     found = Letters(mine[lo:hi])
-                    cells[lang] = cells.get(lang, 0) + np.bincount(found.cells, minlength=CELLS)
-                    scripts[lang] = scripts.get(lang, 0) + np.bincount(found.scripts, minlength=len(_NAMES))
-        for kind, held in (("cell", cells), ("script", scripts)):
-            for lang, counts in held.items():
-                at = np.flatnonzero(counts)
-                yield pa.RecordBatch.from_pydict({"kind": pa.array([kind] * len(at), pa.string()), "lang": pa.array([lang] * len(at), pa.string()), "at": pa.array(at, pa.int32()), "n": pa.array(counts[at], pa.int64())})
+                    total += np.bincount(np.concatenate((found.cells, CELLS + found.scripts.astype(np.int64))), minlength=len(total))
+        for lang, total in counts.items():
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at), pa.string()), "at": pa.array(at, pa.int32()), "n": pa.array(total[at], pa.int64())})
 
-    found = own.mapInArrow(run, "kind string, lang string, at int, n bigint")
-    return found.groupBy("kind", "lang", "at").agg(F.sum("n").alias("n"))
+    found = own.mapInArrow(run, "lang string, at int, n bigint")
+    return found.groupBy("lang", "at").agg(F.sum("n").alias("n"))
 
 
 class Model:
-    def __init__(self, rows: list):
-        self.langs = sorted({r.lang for r in rows})
-        if len(self.langs) > LANGUAGES:
-            raise ValueError(f"more than {LANGUAGES} languages: {len(self.langs)}")
-        place = {x: k for k, x in enumerate(self.langs)}
-        cells = np.full((CELLS, len(self.langs)), SMOOTHING, dtype=np.float64)
+    """Log-probabilities of cells and candidate languages of scripts, from {language: counts}."""
+
+    def __init__(self, counts: dict[str, np.ndarray]):
+        self.langs = sorted(counts)
+        if CELLS * len(self.langs) * 4 > MODEL_BYTES:
+            raise ValueError(f"{len(self.langs)} languages take more than MODEL_BYTES with {CELLS} cells each")
+        self.logs = np.empty((CELLS, len(self.langs)), dtype=np.float32)
         scripts = np.zeros((len(_NAMES), len(self.langs)))
-        for r in rows:
-            (cells if r.kind == "cell" else scripts)[r.at, place[r.lang]] += r.n
-        self.logs = np.log(cells / cells.sum(axis=0, keepdims=True)).astype(np.float32)
+        for k, lang in enumerate(self.langs):
+            cells = counts[lang][:CELLS] + SMOOTHING
+            self.logs[:, k] = np.log(cells / cells.sum())
+            scripts[:, k] = counts[lang][CELLS:]
         #: a language is a candidate of a script that holds a thousandth of its words or more
         allowed = scripts >= np.maximum(1, 0.001 * scripts.sum(axis=0, keepdims=True))
         allowed[~allowed.any(axis=1)] = True
@@ -197,10 +197,17 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, switch: float = SWITCH) -> n
 
 
 def train(docs: DataFrame, **columns) -> Model | None:
-    """Fit on all rows with a language; the counts collected are bounded by CELLS and LANGUAGES."""
-    counts = count_trigrams(docs, **columns)
-    rows = counts.collect()
-    return Model(rows) if rows else None
+    """Fit on all rows with a language; None without any.
+
+    The counts reach the driver as Arrow columns, at most CELLS and the scripts a language.
+    """
+    found = count_trigrams(docs, **columns).toArrow()
+    names = found["lang"].combine_chunks().dictionary_encode()
+    at, n, code = found["at"].to_numpy(), found["n"].to_numpy(), np.asarray(names.indices)
+    counts = {}
+    for k, lang in enumerate(names.dictionary.to_pylist()):
+        counts[lang] = np.bincount(at[code == k], weights=n[code == k], minlength=CELLS + len(_NAMES))
+    return Model(counts) if counts else None
 
 
 _OUT = "lang_pred string, score double"
@@ -213,7 +220,8 @@ def identify(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", te
 
     score is the share of the letters that lie in spans of lang_pred, in [0, 1].  Null
     and empty texts, texts without a letter and an empty model give 'und' and 0.  Ties go
-    to the language first in alphabetical order.  Repeated rows each get a row.
+    to the language first in alphabetical order.  A text of any length is labelled whole.
+    Null and repeated ids are as good as any: each row gets a row; an empty table gives none.
     """
     own = keyed(docs, id_col, text_col)
     kind = own.schema["doc_id"].dataType.simpleString()
@@ -263,6 +271,10 @@ def identify(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", te
 
 
 def op10_langid(spark, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learned from those whose crc32(doc_id) mod 3 is not 1.
+
+    One row per row of `documents`; 'und' without a letter.  See identify.
+    """
     docs = table(spark, sf_dir, "documents")
     held = held_out(F.col("doc_id"), 3)
     model = train(docs.where(~held))

@@ -150,8 +150,10 @@ def count_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """doc_id, n_words, n_tokens for each row of docs.
 
     Pre-tokens are the words `[^\\x20\\x09-\\x0D]+`, each with the mark before it.  Null and
-    empty texts have none and count 0.  Repeated rows each get a row; an empty table gives
-    none.  A pre-token of more than LONGEST characters is segmented outside the trie.
+    empty texts have none and count 0; a text of any length counts whole.  Null and
+    repeated ids are as good as any: each row gets a row; an empty table gives none.  A
+    pre-token of more than LONGEST characters is segmented outside the trie, with the same
+    result.
     """
     own = keyed(docs, id_col, text_col)
     kind = own.schema["doc_id"].dataType.simpleString()
@@ -173,4 +175,5 @@ def count_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 
 def op4_token_counts(spark, sf_dir: str) -> DataFrame:
+    """Words and tokens of all documents: one row per row of `documents`, null texts with none.  See count_tokens."""
     return count_tokens(table(spark, sf_dir, "documents"))
