@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import stored
+
 #: Readings per bin that the recommended count aims at, and its limits.  Fixed values.
 PER_BIN, FEWEST, MOST = 20, 8, 256
 ID_PREFIX = "bm_"
@@ -90,10 +92,11 @@ def bin_in(value: Column, edges: Column) -> Column:
 
 
 def frozen(schemas: DataFrame) -> DataFrame:
-    """The same schemas as literal rows, fitted once; as they are if they have over LITERAL_EDGES edges."""
-    rows = schemas.limit(LITERAL_EDGES + 1).collect()
+    """The same schemas, fitted once: as literal rows, or as a table if they have over LITERAL_EDGES edges."""
+    kept = stored(schemas, "schemas")
+    rows = kept.limit(LITERAL_EDGES + 1).collect()
     if sum(len(r["edges"]) for r in rows) > LITERAL_EDGES:
-        return schemas
+        return kept
     return schemas.sparkSession.createDataFrame(rows, schemas.schema)
 
 
