@@ -67,6 +67,11 @@ def detect(windows: DataFrame, schemas: DataFrame, calibration: Column, *, instr
     return verdicts(scored, thresholds(scored.where(calibration), instrument=instrument, k=k, policy=policy), instrument=instrument)
 
 
+def score_series(scored: DataFrame, *, instrument: list[str], window: list[str]) -> DataFrame:
+    """The verdicts in the order of their windows: keys, distance, is_drift."""
+    return scored.select(*instrument, *window, "distance", "is_drift").orderBy(*instrument, *window)
+
+
 def confusion(found: DataFrame, truth: Column) -> DataFrame:
     """tp, fn, fp, tn, recall and the number of clean windows scored, in one row."""
     flag = F.col("is_drift")

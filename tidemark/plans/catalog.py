@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import binning, channels, moments, shape
+from ..functions.storage import shared_folder, stored
 from ..operators import drift, fact as facts, serving
 from ..operators.bands import BandScheme
 from ..operators.fingerprint import fingerprints
 from ..sources import contract, simulator
-from ..sources.config import registered
+from ..sources.config import load, registered
 from . import mapping as m
 
 QUERIES: dict = {}
@@ -521,7 +521,7 @@ def fault_injection(spark, sf_dir):
     return simulator.simulate(spark, scenario(faults=faults))
 
 
-@query()
+@query("""SELECT * FROM (VALUES ('mean_shift', '2024-06-27T00:00:00', '2024-06-30T00:00:00', '{"magnitude": 4.0, "channel": "temperature"}'), ('spike', '2024-06-21T12:00:00', CAST(NULL AS VARCHAR), '{"value": 58.0, "channel": "temperature"}')) AS t(kind, start, "end", detail)""")
 def fault_truth(spark, sf_dir):
     return simulator.ground_truth(spark, scenario(faults=(mean_shift(4.0), simulator.Fault("spike", datetime(2024, 6, 21, 12), None, 58.0))))
 
@@ -540,16 +540,85 @@ def simulated_drift_detection(spark, sf_dir):
     return simulated_drift(spark, mean_shift(4.0))
 
 
-@query()
+_SENT = "event_id % 50 <> 7"
+
+
+def _payloads(spark, sf_dir) -> DataFrame:
+    """All events as JSON payloads: every tenth is sent twice, every third as an array, every fiftieth is broken."""
+    rows = m.readings(spark, sf_dir)
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    record = F.to_json(F.struct("instrument_id", "measurement_id", iso("event_time").alias("event_time"), iso("arrival_time").alias("arrival_time"), F.create_map("channel", "value").alias("values")))
+    payload = F.when(~F.expr(_SENT), F.lit("{not json")).when(F.col("event_id") % 3 == 0, F.concat(F.lit("["), record, F.lit("]"))).otherwise(record)
+    times = F.when(F.col("event_id") % 10 == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return rows.select(payload.alias("payload"), F.explode(times).alias("time"))
+
+
+@query(m.sql("fact", f"SELECT {_ROW} FROM fact WHERE entry_type = 'measurement' AND CAST(measurement_id AS BIGINT) % 50 <> 7"))
 def streaming_ingest(spark, sf_dir):
-    """Simulated payloads through the streaming ingest; the fact it wrote."""
+    """All events as payloads through the stream, the repeated ones in a second batch; the fact it wrote."""
     from ..streaming import ingest
 
-    home = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-")).rstrip("/") + f"/stream-{datetime.now():%H%M%S%f}"
-    rows = simulator.simulate(spark, scenario(days=3, per_hour=4))
-    simulator.as_json(rows).write.text(f"{home}/in")
-    fitted = binning.fit_schemas(rows, scope=["instrument_id"], bins=16)
-    ingest.ingest(spark, f"{home}/in", fitted, f"{home}/fact", f"{home}/offsets", f"{home}/state").awaitTermination()
-    return ingest.stored_fact(spark, f"{home}/fact").drop("batch_id")
+    home = shared_folder(spark, "stream")
+    sent = _payloads(spark, sf_dir)
+    fitted = m.schemas(m.readings(spark, sf_dir))
+    for time in (1, 2):
+        sent.where(F.col("time") == time).select("payload").write.mode("append").text(f"{home}/in")
+        ingest.ingest(spark, f"{home}/in", fitted, f"{home}/fact", f"{home}/offsets", f"{home}/state").awaitTermination()
+    return _rows(ingest.stored_fact(spark, f"{home}/fact"))
+
+
+@query(m.sql("fact", _NET.format("true")))
+def current_state_stored(spark, sf_dir):
+    """The state from disk: batches by arrival day of the week, one of them replayed, then compacted."""
+    fact = stored(m.setting(spark, sf_dir)[2], "fact")
+    home = shared_folder(spark, "state")
+    for day in (1, 2, 3, 4, 5, 6, 7, 3):
+        serving.apply_batch(f"{home}/batches", f"day-{day}", fact.where(F.dayofweek("arrival_time") == day))
+    serving.compact(spark, f"{home}/batches", f"{home}/compact")
+    return serving.current_state(spark, f"{home}/compact").select("instrument_id", "schema_id", "bin", "cnt")
+
+
+@query(m.sql("fact", "SELECT bin, CAST(sum(delta) AS BIGINT) AS cnt FROM fact WHERE instrument_id = 'click' GROUP BY bin HAVING sum(delta) <> 0"))
+def point_read(spark, sf_dir):
+    """One instrument's histogram out of the state."""
+    _, fitted, fact = m.setting(spark, sf_dir)
+    ident = fitted.where("instrument_id = 'click'").first()["schema_id"]
+    return serving.distribution(serving.net(fact), "click", ident)
+
+
+@query(m.sql("fact", "SELECT instrument_id, CAST(count(*) AS BIGINT) AS n_cells, CAST(sum(cnt) AS BIGINT) AS total FROM (SELECT instrument_id, event_hour, bin, sum(delta) AS cnt FROM fact GROUP BY ALL HAVING sum(delta) <> 0) GROUP BY instrument_id"))
+def views(spark, sf_dir):
+    """SQL over the registered views."""
+    _, fitted, fact = m.setting(spark, sf_dir)
+    serving.register_views(fact, fitted)
+    return spark.sql("SELECT instrument_id, count(*) AS n_cells, sum(cnt) AS total FROM histogram GROUP BY instrument_id")
+
+
+@query("SELECT CASE WHEN n_nationkey % 7 = 0 THEN 'no name' WHEN n_nationkey % 5 > 2 THEN 'rank is not 0, 1 or 2' ELSE 'unknown kind' END AS problem, count(*) AS n FROM nation WHERE n_nationkey % 7 = 0 OR n_nationkey % 5 > 2 OR n_nationkey % 4 = 3 GROUP BY 1")
+def channel_validation(spark, sf_dir):
+    """Why channels made of the nations are invalid."""
+    key = F.col("n_nationkey")
+    made = m.table(spark, sf_dir, "nation").select(F.when(key % 7 != 0, F.col("n_name")).alias("name"), (key % 5).alias("rank"), F.when(key % 4 == 3, F.lit("cubic")).when(key % 2 == 0, F.lit("linear")).otherwise(F.lit("circular")).alias("kind"))
+    _, bad = channels.split_valid(made, channels.channel_problem(F.col("name"), F.col("rank"), F.col("kind")))
+    return bad.groupBy("problem").agg(F.count("*").alias("n"))
+
+
+_CONFIG = """
+instrument_types:
+  thermometer:
+    channels: [{name: temperature, rank: 0, kind: linear, unit: C}, {name: wind, rank: 1, kind: circular, unit: m/s}]
+    bands: {low: [0, 18], fine: [18, 28], high: [28, 40]}
+    drift_rules: [{baseline: rolling_window, threshold: auto}]
+instruments:
+  - {id: T-1, type: thermometer, labels: [roof, north], location: {latitude: 1.5, longitude: 2.5, height_m: 3, datum: WGS84, epoch: "2020"}}
+"""
+
+
+@query("SELECT * FROM (VALUES ('thermometer', 'temperature', CAST(0 AS INTEGER), 'linear', 'C'), ('thermometer', 'wind', 1, 'circular', 'm/s')) AS t(type, name, rank, kind, unit)")
+def config_channels(spark, sf_dir):
+    return load(spark, _CONFIG)["channels"]
 
 
+@query("SELECT * FROM (VALUES ('thermometer', 'low', CAST(0 AS DOUBLE), CAST(18 AS DOUBLE)), ('thermometer', 'fine', 18, 28), ('thermometer', 'high', 28, 40)) AS t(type, label, lower, upper)")
+def config_bands(spark, sf_dir):
+    return load(spark, _CONFIG)["bands"]
