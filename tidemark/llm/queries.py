@@ -26,4 +26,40 @@ QUERIES = {
     "op10_langid": op10_langid,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: op2: windows of items as joined words, looked up in the documents' windows of each length.
+_OP2 = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+ip AS (SELECT item, w, least(10, len(w)) AS m, unnest(generate_series(1, len(w) - least(10, len(w)) + 1)) AS p FROM i WHERE len(w) > 0),
+iw AS (SELECT DISTINCT item, m, array_to_string(list_slice(w, p, p + m - 1), ' ') AS k FROM ip),
+ms AS (SELECT DISTINCT m FROM iw),
+dp AS (SELECT doc_id, w, m, unnest(generate_series(1, len(w) - m + 1)) AS p FROM d JOIN ms ON len(w) >= m),
+dw AS (SELECT doc_id, m, p, array_to_string(list_slice(w, p, p + m - 1), ' ') AS k FROM dp),
+hits AS (SELECT doc_id, p, dw.m AS m, item FROM dw JOIN iw ON dw.m = iw.m AND dw.k = iw.k),
+words_hit AS (SELECT DISTINCT doc_id, unnest(generate_series(p, p + m - 1)) AS q FROM hits),
+n AS (SELECT doc_id, count(*) AS n_hit FROM words_hit GROUP BY doc_id),
+held AS (SELECT DISTINCT doc_id, item FROM hits),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM held GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN its ON its.doc_id = d.doc_id
+"""
+
+#: op6: shared shingles of all pairs, and what links reach.
+_OP6 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+dp AS (SELECT doc_id, w, least(4, len(w)) AS m, unnest(generate_series(1, len(w) - least(4, len(w)) + 1)) AS p FROM d WHERE len(w) > 0),
+sh AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, p, p + m - 1), ' ') AS k FROM dp),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+link AS (SELECT x, y FROM pair JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
+both_ways AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach AS (SELECT doc_id AS node, doc_id AS root FROM d UNION SELECT y AS node, root FROM reach JOIN both_ways ON node = x),
+least_of AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM d JOIN least_of ON node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_decontaminate": _OP2, "op6_neardup": _OP6}
