@@ -87,3 +87,13 @@ def test_approximate_fit_is_close(spark):
     exact = binning.fit_schemas(df, scope=["scope"], bins=10).first()["edges"]
     near = binning.fit_schemas(df, scope=["scope"], bins=10, accuracy=1000).first()["edges"]
     assert max(abs(a - b) for a, b in zip(exact, near)) <= 20
+
+
+def test_sorted_quantiles_are_the_same_schemas(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, float(v)) for k, n in (("a", 3000), ("b", 701), (None, 97)) for v in rng.normal(20, 5, n)] + [("a", 20.0)] * 500 + [("c", None), ("b", float("nan"))]
+    df = spark.createDataFrame(rows, "instrument_id string, value double").repartition(7)
+    for bins in (16, None):
+        plain, by_sort = (sorted(map(tuple, binning.fit_schemas(df, scope=["instrument_id"], bins=bins, by_sort=b).collect()), key=str) for b in (False, True))
+        assert by_sort == plain and len(plain) == (3 if bins else 2)
+    assert binning.fit_schemas(df.limit(0), scope=["instrument_id"], bins=16, by_sort=True).isEmpty()

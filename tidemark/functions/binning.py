@@ -7,7 +7,7 @@ overflow.  A null or NaN value has no bin.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import stored
@@ -30,7 +30,32 @@ def content_id(scope: Column, channel: Column, start: Column, end: Column, edges
     return F.concat(F.lit(ID_PREFIX), F.substring(F.sha2(text.cast("binary"), 256), 1, 12))
 
 
-def fit_schemas(readings: DataFrame, *, scope: list[str], value: str = "value", channel: str = "value", bins: int | None = None, fit_start: str = "", fit_end: str = "", strict: bool = True, accuracy: int | None = None) -> DataFrame:
+def sorted_quantiles(rows: DataFrame, scope: list[str], value: str, fractions: list[float]) -> DataFrame:
+    """scope, n, q: exact quantiles with linear interpolation, by one distributed sort.
+
+    The sorted values are written with their places, so a task's memory is bounded however
+    many values a scope has; then only the places that the quantiles need are read.
+    """
+    own = rows.select(*scope, F.col(value).cast("double").alias("_v"))
+    placed = stored(own.repartitionByRange(*scope, "_v").sortWithinPartitions(*scope, "_v").withColumn("_at", F.monotonically_increasing_id()), "sorted")
+    runs = placed.groupBy(*scope, F.shiftright("_at", 33).alias("_part")).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    over = Window.partitionBy(*scope)  # of one row for each partition of the sort
+    runs = runs.withColumns({"n": F.sum("_n").over(over), "_before": F.sum("_n").over(over.orderBy("_part")) - F.col("_n")})
+    place = lambda f: (F.col("n") - 1) * F.lit(f)
+    ends = [round_(place(f)).cast("bigint") for f in fractions for round_ in (F.floor, F.ceil)]
+    needed = runs.withColumn("_rank", F.explode(F.array_distinct(F.array(*ends)))).where("_rank BETWEEN _before AND _before + _n - 1")
+    needed = needed.select(*scope, "n", "_rank", (F.col("_first") + F.col("_rank") - F.col("_before")).alias("_at"))
+    found = needed.join(placed.select("_at", "_v"), "_at").groupBy(*scope).agg(F.first("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("m"))
+
+    def quantile(f: float) -> Column:
+        at = place(f)
+        lo, hi = F.floor(at).cast("bigint"), F.ceil(at).cast("bigint")
+        return F.when(lo == hi, F.col("m")[lo]).otherwise((hi - at) * F.col("m")[lo] + (at - lo) * F.col("m")[hi])
+
+    return found.select(*scope, "n", F.array(*[quantile(f) for f in fractions]).alias("q"))
+
+
+def fit_schemas(readings: DataFrame, *, scope: list[str], value: str = "value", channel: str = "value", bins: int | None = None, fit_start: str = "", fit_end: str = "", strict: bool = True, accuracy: int | None = None, by_sort: bool = False) -> DataFrame:
     """One schema per scope: edges at equally spaced quantiles, rounded to 9 places, distinct.
 
     With `bins` None the recommended count for the number of readings is taken.  NaN and
@@ -38,9 +63,9 @@ def fit_schemas(readings: DataFrame, *, scope: list[str], value: str = "value",
     distinct edges, raises when the result is computed; with `strict` False it is dropped.
 
     Exact quantiles keep a scope's distinct values in one task's memory.  For scopes of
-    many billion distinct values `accuracy` takes Spark's mergeable summaries of that size
-    instead: bounded memory, ranks right to 1 / accuracy, but ids that another run need
-    not repeat.
+    many million distinct values `by_sort` finds the same ones by a distributed sort, whose
+    memory is bounded; `accuracy` takes Spark's mergeable summaries of that size instead:
+    one pass, ranks right to 1 / accuracy, but ids that another run need not repeat.
     """
     valid = readings.where(F.col(value).isNotNull() & ~F.isnan(value))
     n = F.count(F.lit(1))
@@ -48,14 +73,17 @@ def fit_schemas(readings: DataFrame, *, scope: list[str], value: str = "value",
         sized = valid.groupBy(*scope).agg(n.alias("n"))
         sized = sized.withColumn("target", recommended_bins(F.col("n")))
         counts = [r["target"] for r in sized.select("target").distinct().collect()]  # 249 values at most
-        parts = [fit_schemas(valid.join(F.broadcast(sized.where(F.col("target") == k).select(*scope)), scope, "left_semi"), scope=scope, value=value, channel=channel, bins=k, fit_start=fit_start, fit_end=fit_end, strict=strict, accuracy=accuracy) for k in sorted(counts)]
+        parts = [fit_schemas(valid.join(F.broadcast(sized.where(F.col("target") == k).select(*scope)), scope, "left_semi"), scope=scope, value=value, channel=channel, bins=k, fit_start=fit_start, fit_end=fit_end, strict=strict, accuracy=accuracy, by_sort=by_sort) for k in sorted(counts)]
         out = parts[0] if parts else fit_schemas(valid, scope=scope, value=value, channel=channel, bins=FEWEST, fit_start=fit_start, fit_end=fit_end, strict=strict)
         for p in parts[1:]:
             out = out.union(p)
         return out
     fractions = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    quantiles = F.percentile(value, fractions) if accuracy is None else F.percentile_approx(value, fractions, accuracy)
-    fitted = valid.groupBy(*scope).agg(n.alias("n"), quantiles.alias("q"))
+    if by_sort:
+        fitted = sorted_quantiles(valid, scope, value, [i / bins for i in range(bins + 1)])
+    else:
+        quantiles = F.percentile(value, fractions) if accuracy is None else F.percentile_approx(value, fractions, accuracy)
+        fitted = valid.groupBy(*scope).agg(n.alias("n"), quantiles.alias("q"))
     edges = F.array_sort(F.array_distinct(F.transform("q", lambda e: F.round(e, 9))))
     fitted = fitted.withColumn("edges", edges)
     good = (F.col("n") >= bins) & (F.size("edges") >= 2)
