@@ -1,5 +1,6 @@
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,3 +66,19 @@ def test_occupancy_splits_bins_and_sums_to_one(spark):
     row = BandScheme.severity(28.0, 33.0, 38.0).occupancy(h, schemas, ["instrument_id"]).first()
     assert row["Nominal"] == pytest.approx(0.1 + 0.4 * 0.8) and row["Critical"] == pytest.approx(0.1 + 0.4 * 0.2)
     assert sum(row[x] for x in ("Nominal", "Elevated", "Warning", "Critical")) == pytest.approx(1.0)
+
+
+def test_mahalanobis_is_numpys(spark):
+    rng = np.random.default_rng(4)
+    mix = rng.normal(size=(4, 4))
+    rows = [(k, i, [float(x) for x in rng.normal(size=4) @ mix + 10] + [1.0]) for k in ("a", "b") for i in range(60)] + [("c", 99, [0.0] * 5)]
+    df = spark.createDataFrame(rows, "instrument_id string, i int, vector array<double>")
+    got = {(r["instrument_id"], r["i"]): r["mahalanobis"] for r in drift.mahalanobis(df, F.col("i") < 40, 5, instrument=["instrument_id"]).collect()}
+    assert got.pop(("c", 99)) is None
+    for k in ("a", "b"):
+        x = np.array([v for kk, i, v in rows if kk == k and i < 40])[:, :4]
+        inverse = np.linalg.inv(np.cov(x.T, bias=True))
+        for kk, i, v in rows:
+            if kk == k:
+                gap = np.array(v[:4]) - x.mean(axis=0)
+                assert got[k, i] == pytest.approx(float(np.sqrt(gap @ inverse @ gap)), rel=1e-6)

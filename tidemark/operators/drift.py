@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,6 +69,33 @@ def detect(windows: DataFrame, schemas: DataFrame, calibration: Column, *, instr
     return verdicts(scored, thresholds(scored.where(calibration), instrument=instrument, k=k, policy=policy), instrument=instrument)
 
 
+def _inverse(matrix: pd.Series) -> pd.Series:
+    """Pseudo-inverses of square matrices given row by row."""
+    return matrix.map(lambda x: np.linalg.pinv(np.reshape(x, (int(len(x) ** 0.5), -1)), rcond=1e-12, hermitian=True).reshape(-1))
+
+
+def mahalanobis(found: DataFrame, calibration: Column, size: int, *, instrument: list[str], vector: str = "vector") -> DataFrame:
+    """found with the Mahalanobis distance of its vectors (of `size` numbers) to each instrument's calibration rows.
+
+    Mean and covariance come from additive sums, one row per instrument, of which the
+    covariance is inverted; directions without variance do not count.  An instrument
+    without calibration rows, or a vector with a null, has a null distance.
+    """
+    v, at = F.col(vector), range(size)
+    total = [F.sum(F.get(v, F.lit(i))).alias(f"p{i}") for i in at]
+    cross = [F.sum(F.get(v, F.lit(i)) * F.get(v, F.lit(j))).alias(f"q{i}_{j}") for i in at for j in at if i <= j]
+    sums = found.where(calibration).groupBy(*instrument).agg(F.count("*").alias("n"), *total, *cross)
+    mean = [F.col(f"p{i}") / F.col("n") for i in at]
+    covariance = F.array(*[F.col(f"q{min(i, j)}_{max(i, j)}") / F.col("n") - mean[i] * mean[j] for i in at for j in at])
+    reference = sums.select(*instrument, F.array(*mean).alias("_mean"), F.pandas_udf(_inverse, "array<double>")(covariance).alias("_inverse"))
+    out = found.join(reference, instrument, "left").withColumn("_gap", F.zip_with(v, "_mean", lambda x, y: x - y))
+    gap, steps = F.col("_gap"), F.sequence(F.lit(0), F.lit(size - 1))
+    add = lambda terms: F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
+    row = lambda i: add(F.transform(steps, lambda j: F.get("_inverse", i * size + j) * F.get(gap, j)))
+    square = add(F.transform(steps, lambda i: F.get(gap, i) * row(i)))
+    return out.withColumn("mahalanobis", F.sqrt(F.greatest(square, F.when(square.isNotNull(), F.lit(0.0))))).drop("_mean", "_inverse", "_gap")
+
+
 def score_series(scored: DataFrame, *, instrument: list[str], window: list[str]) -> DataFrame:
     """The verdicts in the order of their windows: keys, distance, is_drift."""
     return scored.select(*instrument, *window, "distance", "is_drift").orderBy(*instrument, *window)

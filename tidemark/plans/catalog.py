@@ -195,6 +195,20 @@ def fingerprint(spark, sf_dir):
     return found.select("instrument_id", F.col("day").cast("string").alias("day"), "n", *rounded(5, "mean", "variance", "std"), *rounded(4, "skewness", "kurtosis_excess"), *rounded(6, *_P, "entropy_norm"))
 
 
+_NEAR = """fp AS (SELECT instrument_id, day, mean AS x, std AS y FROM done),
+r AS (SELECT instrument_id, avg(x) AS mx, avg(y) AS my, avg(x * x) - avg(x) * avg(x) AS xx, avg(x * y) - avg(x) * avg(y) AS xy, avg(y * y) - avg(y) * avg(y) AS yy FROM fp WHERE day < DATE '2024-01-21' GROUP BY instrument_id),
+g AS (SELECT fp.instrument_id, day, x - mx AS dx, y - my AS dy, xx, xy, yy FROM fp JOIN r ON r.instrument_id = fp.instrument_id)"""
+
+
+@query(m.sql("fact", "SELECT instrument_id, CAST(day AS VARCHAR) AS day, round(sqrt(greatest(0, (yy * dx * dx - 2 * xy * dx * dy + xx * dy * dy) / (xx * yy - xy * xy))) + 1e-08, 6) AS mahalanobis FROM g", f"sums AS (SELECT instrument_id, day, {_POWERS} FROM fact GROUP BY ALL)", _MOMENTS, _NEAR))
+def mahalanobis(spark, sf_dir):
+    """Daily mean and standard deviation against those of the calibration days."""
+    sums = m.setting(spark, sf_dir)[2].groupBy("instrument_id", F.col("event_date").alias("day")).agg(*moments.power_sums("value", F.col("delta")))
+    found = sums.select("instrument_id", "day", *moments.moments()).select("instrument_id", "day", F.array("mean", "std").alias("vector"))
+    scored = drift.mahalanobis(found, F.col("day") < F.lit(m.CUT.date()), 2, instrument=["instrument_id"])
+    return scored.select("instrument_id", F.col("day").cast("string").alias("day"), near(F.col("mahalanobis"), 6).alias("mahalanobis"))
+
+
 # the fact
 
 _ROW = f"instrument_id, measurement_id, schema_id, bin, {HOUR}, {ARRIVAL}, CAST(delta AS BIGINT) AS delta, round(value, 6) AS value, entry_type"
