@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zlib
@@ -19,40 +20,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only if none is set."""
+    """The folder that all executors share; a temporary one only if none is set and all run in this process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         at = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = at.get() if at.isDefined() else None
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
 @contextmanager
-def arrow_rows(spark: SparkSession, rows: int):
-    """Jobs started inside hand Python at most `rows` rows at a time, which bounds memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+def settings(spark: SparkSession, values: dict[str, str]):
+    """The session's settings for the jobs started inside; the caller's come back after."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def arrow_rows(spark: SparkSession, rows: int):
+    """Jobs started inside hand Python at most `rows` rows at a time, which bounds memory."""
+    return settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)})
 
 
 def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
     """From now on the session hands Python at most `rows` rows at a time.
 
-    For frames that a caller computes later: documents can be long, and Spark bounds a
-    batch by its number of rows only.
+    For frames that a caller computes later.  Spark also bounds a batch's bytes
+    (spark.sql.execution.arrow.maxBytesPerBatch), but far above what a worker needs.
     """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows:
         spark.conf.set(key, str(rows))
 
 
+#: Partitions after a shuffle get the advised size, so small tables are a few files.
+_SIZED = {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+#: A local file system that writes no checksum files: these cost processes for each file.
+_PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
 def materialise(df: DataFrame, name: str, compression: str = "snappy", batch_rows: int = 1000) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
@@ -60,8 +78,9 @@ def materialise(df: DataFrame, name: str, compression: str = "snappy", batch_row
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
-    with arrow_rows(spark, batch_rows):
-        df.write.mode("overwrite").option("compression", compression).parquet(path)
+    with arrow_rows(spark, batch_rows), settings(spark, _SIZED):
+        writer = df.write.mode("overwrite").option("compression", compression)
+        (writer.options(**_PLAIN_FILES) if path.startswith("file:") else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidemark_path = path
     return out
