@@ -62,4 +62,28 @@ SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, d.d
 FROM d JOIN least_of ON node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_decontaminate": _OP2, "op6_neardup": _OP6}
+#: op7: lines in runs of eight words that an earlier text holds, and blank lines between them.
+_OP7 = """
+WITH docs AS (SELECT doc_id, text, md5(coalesce(text, '')) AS t FROM documents),
+texts AS (SELECT t, min(doc_id) AS id, any_value(coalesce(text, '')) AS text FROM docs GROUP BY t),
+split AS (SELECT t, id, string_split(text, chr(10)) AS ls FROM texts),
+numbered AS (SELECT t, id, ls, unnest(generate_series(1, len(ls))) AS i FROM split),
+worded AS (SELECT t, id, i, ls[i] AS line, regexp_extract_all(ls[i], '[^\\x20\\x09-\\x0D]+') AS w FROM numbered),
+lines AS (SELECT t, id, i, line, len(w) AS n, array_to_string(w, ' ') AS plain, sum(len(w)) OVER (PARTITION BY t ORDER BY i) AS upto FROM worded),
+held AS (SELECT t, id, i, line, n, plain, upto, upto - n AS before FROM lines),
+begun AS (SELECT a.t, a.id, a.i AS lo, min(b.i) AS hi FROM held a JOIN held b ON a.t = b.t AND b.i >= a.i AND b.upto >= a.before + 8 WHERE a.n > 0 GROUP BY a.t, a.id, a.i),
+ended AS (SELECT b.t, b.id, max(a.i) AS lo, b.i AS hi FROM held a JOIN held b ON a.t = b.t AND a.i <= b.i AND a.before <= b.upto - 8 WHERE b.n > 0 GROUP BY b.t, b.id, b.i),
+runs AS (SELECT t, id, lo, hi FROM begun UNION SELECT t, id, lo, hi FROM ended),
+keyed AS (SELECT r.t, r.id, r.lo, r.hi, string_agg(h.plain, chr(10) ORDER BY h.i) AS k FROM runs r JOIN held h ON h.t = r.t AND h.i BETWEEN r.lo AND r.hi GROUP BY r.t, r.id, r.lo, r.hi),
+ranked AS (SELECT t, lo, hi, first_value(t) OVER (PARTITION BY k ORDER BY id, t) AS owner FROM keyed),
+gone_words AS (SELECT DISTINCT h.t, h.i FROM ranked r JOIN held h ON h.t = r.t AND h.i BETWEEN r.lo AND r.hi WHERE r.owner <> r.t AND h.n > 0),
+around AS (SELECT k.t, k.i, max(CASE WHEN h.i < k.i THEN h.i END) AS p, min(CASE WHEN h.i > k.i THEN h.i END) AS q FROM held k JOIN held h ON h.t = k.t AND h.n > 0 WHERE k.n = 0 GROUP BY k.t, k.i),
+gone AS (SELECT t, i FROM gone_words UNION SELECT a.t, a.i FROM around a JOIN gone_words x ON x.t = a.t AND x.i = a.p JOIN gone_words y ON y.t = a.t AND y.i = a.q),
+marked AS (SELECT h.t, h.id, h.i, h.line, sum(h.n) OVER (PARTITION BY h.t) AS n_words, g.i IS NOT NULL AS gone FROM held h LEFT JOIN gone g ON g.t = h.t AND g.i = h.i),
+found AS (SELECT d.doc_id, d.text, m.i, m.line, CASE WHEN d.text IS NULL THEN false WHEN d.doc_id <> m.id THEN n_words >= 8 ELSE gone END AS gone FROM docs d JOIN marked m ON m.t = d.t)
+SELECT doc_id, CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed, coalesce(string_agg(CAST(i - 1 AS VARCHAR), ',' ORDER BY i) FILTER (gone), '') AS removed_lines,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS text_sha256
+FROM found GROUP BY doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op7_linededup": _OP7, "op2_decontaminate": _OP2, "op6_neardup": _OP6}
