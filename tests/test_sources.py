@@ -100,3 +100,13 @@ def test_registry_interval(spark):
     registry = spark.createDataFrame([("T", at(1), at(10), "a"), ("T", at(10), None, "b")], "instrument_id string, valid_from timestamp_ntz, valid_to timestamp_ntz, site string")
     rows = spark.createDataFrame([("T", at(9)), ("T", at(10)), ("U", at(10))], "instrument_id string, event_hour timestamp_ntz")
     assert sorted(str(r["site"]) for r in config.registered(rows, registry).collect()) == ["None", "a", "b"]
+
+
+def test_many_instruments_are_each_one(spark, monkeypatch):
+    monkeypatch.setattr(simulator, "BLOCK", 100)
+    at = lambda day, hour=0: datetime(2024, 6, day, hour)
+    faults = (simulator.Fault("mean_shift", at(11), at(12), 4.0), simulator.Fault("mean_shift", at(11, 6), at(13), 1.5), simulator.Fault("variance_inflation", at(11, 3), at(11, 9), 3.0), simulator.Fault("stuck", at(12, 3), at(12, 5), 9.0), simulator.Fault("stuck", at(12, 4), at(12, 6), 10.0), simulator.Fault("spike", at(12, 4), None, 58.0))
+    fleet = [simulator.Instrument("A", at(10), at(14), per_hour=4, seed=3, faults=faults), simulator.Instrument("B", at(11), at(13), per_hour=7, seed=5), simulator.Instrument("C", at(11), at(11), seed=1)]
+    got = sorted(map(tuple, simulator.simulate_all(spark, fleet).collect()))
+    assert got == sorted(tuple(r) for x in fleet for r in simulator.simulate(spark, x).collect()) and len(got) == 4 * 96 + 2 * 24 * 7
+    assert sum(r[5] == 58.0 for r in got) == 1

@@ -532,7 +532,7 @@ def simulated_readings(spark, sf_dir):
 @query()
 def fault_injection(spark, sf_dir):
     faults = (mean_shift(4.0), simulator.Fault("stuck", datetime(2024, 6, 20), datetime(2024, 6, 20, 3), 12.5), simulator.Fault("spike", datetime(2024, 6, 21, 12), None, 58.0))
-    return simulator.simulate(spark, scenario(faults=faults))
+    return simulator.simulate_all(spark, [scenario(faults=faults)])
 
 
 @query("""SELECT * FROM (VALUES ('mean_shift', '2024-06-27T00:00:00', '2024-06-30T00:00:00', '{"magnitude": 4.0, "channel": "temperature"}'), ('spike', '2024-06-21T12:00:00', CAST(NULL AS VARCHAR), '{"value": 58.0, "channel": "temperature"}')) AS t(kind, start, "end", detail)""")

@@ -109,6 +109,51 @@ def simulate(spark: SparkSession, instrument: Instrument) -> DataFrame:
     )
 
 
+#: Numbers that a task draws at once.
+BLOCK = 100_000
+
+
+def _draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for k, n, seed in zip(batch["k"], batch["n"], batch["seed"], strict=True):
+            drawn = np.random.default_rng(seed)
+            for lo in range(0, n, BLOCK):
+                size = min(BLOCK, n - lo)
+                yield pd.DataFrame({"k": np.full(size, k, dtype=np.int32), "i": np.arange(lo, lo + size), "noise": drawn.normal(0.0, FIELD["noise"], size)})
+
+
+def simulate_all(spark: SparkSession, instruments: list[Instrument]) -> DataFrame:
+    """The readings of many instruments as `simulate` gives them one by one, in one frame.
+
+    Each instrument's noise is drawn by one task in blocks.  The faults are a table that
+    the readings are range-joined with; only readings that a fault hits are aggregated.
+    """
+    plan = [(k, s.instrument_id, s.channel, s.start, s.step_s, s.readings, s.seed, s.latency_s) for k, s in enumerate(instruments)]
+    plan = spark.createDataFrame(plan, "k int, instrument_id string, channel string, start timestamp_ntz, step double, n bigint, seed bigint, latency int")
+    drawn = plan.select("k", "n", "seed").repartition(max(1, len(instruments)), "k").mapInPandas(_draw, "k int, i bigint, noise double")
+    seconds = lambda x: F.make_dt_interval(secs=x.cast("decimal(18,6)"))
+    rows = drawn.join(F.broadcast(plan.drop("n", "seed")), "k")  # as many rows as the caller's list
+    rows = rows.withColumn("event_time", F.col("start") + seconds(F.round(F.col("i") * F.col("step") * 1_000_000) / F.lit(1_000_000)))
+    faults = [(k, place, f.kind, f.start, f.end, float(f.amount)) for k, s in enumerate(instruments) for place, f in enumerate(s.faults)]
+    faults = spark.createDataFrame(faults, "fault_of int, place int, kind string, begins timestamp_ntz, ends timestamp_ntz, amount double")
+    ts, half = F.col("event_time"), seconds(F.col("step") / 2)
+    during = F.when(F.col("kind") == "spike", (ts > F.col("begins") - half) & (ts < F.col("begins") + half)).otherwise((ts >= F.col("begins")) & (ts < F.col("ends")))
+    of = lambda kind: F.when(F.col("kind") == kind, F.col("amount"))
+    last = lambda kind: F.max_by(of(kind), F.when(F.col("kind") == kind, F.col("place"))).alias(kind)
+    hit = rows.join(F.broadcast(faults), (F.col("k") == F.col("fault_of")) & during).groupBy("k", "i")
+    hit = hit.agg(F.sum(of("mean_shift")).alias("shift"), F.product(of("variance_inflation")).alias("factor"), last("stuck"), last("spike"))
+    rows = rows.join(hit, ["k", "i"], "left")
+    value = seasonal_field(ts) + F.col("noise") * F.coalesce("factor", F.lit(1.0)) + F.coalesce("shift", F.lit(0.0))
+    return rows.select(
+        "instrument_id",
+        F.concat_ws("-", "instrument_id", F.lpad(F.col("i").cast("string"), 8, "0")).alias("measurement_id"),
+        "channel",
+        "event_time",
+        (ts + F.make_dt_interval(secs=F.col("latency"))).alias("arrival_time"),
+        F.round(F.coalesce("spike", "stuck", value), 3).alias("value"),
+    )
+
+
 def ground_truth(spark: SparkSession, instrument: Instrument) -> DataFrame:
     """One row per fault: kind, start, end, detail (JSON); drift faults, then stuck, then spikes."""
     rank = {"mean_shift": 0, "variance_inflation": 0, "stuck": 1, "spike": 2}
